@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .simhash import op10_covering_simhash
 from .sharding import OP2_SQL, op2_jump_shards
 
 QUERIES = {
+    "op10_covering_simhash": op10_covering_simhash,
     "op2_jump_shards": op2_jump_shards,
 }
 
