@@ -5,9 +5,11 @@ from __future__ import annotations
 from .simhash import op10_covering_simhash
 from .token_orc import op1_token_orc
 from .packing import op6_bounded_packing
+from .exact_digest import op9_canonical_digest
 from .sharding import OP2_SQL, op2_jump_shards
 
 QUERIES = {
+    "op9_canonical_digest": op9_canonical_digest,
     "op6_bounded_packing": op6_bounded_packing,
     "op1_token_orc": op1_token_orc,
     "op10_covering_simhash": op10_covering_simhash,
