@@ -6,9 +6,13 @@ from .simhash import op10_covering_simhash
 from .token_orc import op1_token_orc
 from .packing import op6_bounded_packing
 from .exact_digest import op9_canonical_digest
+from .langid import op3_rank_order_language
+from .quality import op4_pairwise_quality
 from .sharding import OP2_SQL, op2_jump_shards
 
 QUERIES = {
+    "op3_rank_order_language": op3_rank_order_language,
+    "op4_pairwise_quality": op4_pairwise_quality,
     "op9_canonical_digest": op9_canonical_digest,
     "op6_bounded_packing": op6_bounded_packing,
     "op1_token_orc": op1_token_orc,
