@@ -9,9 +9,11 @@ from .exact_digest import op9_canonical_digest
 from .langid import op3_rank_order_language
 from .quality import op4_pairwise_quality
 from .toxicity import op7_recurrent_toxicity
+from .html_extract import op8_boosted_extraction
 from .sharding import OP2_SQL, op2_jump_shards
 
 QUERIES = {
+    "op8_boosted_extraction": op8_boosted_extraction,
     "op7_recurrent_toxicity": op7_recurrent_toxicity,
     "op3_rank_order_language": op3_rank_order_language,
     "op4_pairwise_quality": op4_pairwise_quality,
