@@ -10,9 +10,11 @@ from .langid import op3_rank_order_language
 from .quality import op4_pairwise_quality
 from .toxicity import op7_recurrent_toxicity
 from .html_extract import op8_boosted_extraction
+from .decontaminate import op5_spaced_seed_leaks
 from .sharding import OP2_SQL, op2_jump_shards
 
 QUERIES = {
+    "op5_spaced_seed_leaks": op5_spaced_seed_leaks,
     "op8_boosted_extraction": op8_boosted_extraction,
     "op7_recurrent_toxicity": op7_recurrent_toxicity,
     "op3_rank_order_language": op3_rank_order_language,
