@@ -1,4 +1,4 @@
-"""Operator 10: SimHash near-duplicates by covering locality-sensitive hashing, in DataFrame functions only.
+"""Operator 10: SimHash near-duplicates by covering locality-sensitive hashing.
 
 Fingerprints: a bit is set where more than half of a document's shingle hashes
 (XXH64, seed 42) have it set. Search: Pagh's covering scheme ("Locality-sensitive
@@ -7,9 +7,11 @@ radius + 1 bits; table v keeps the bits with <m(i), v> odd. The at most
 ``radius`` bits in which two fingerprints differ span too little to meet every
 v, so some table agrees on all it keeps: every pair within the radius collides.
 
-Copies share a fingerprint and are searched as one. Buckets over
-``BUCKET_LIMIT`` fingerprints aren't compared pair by pair: their members meet
-exactly, in linear work, at the fingerprints near them (see ``_through_hubs``).
+Copies share a fingerprint and are searched as one. Up to ``BUCKET_LIMIT``
+fingerprints in a bucket are joined pair by pair; up to ``GROUP_LIMIT`` (a few
+hundred kB) are compared in one task that emits a spanning forest of their
+links, never all pairs; the members of larger buckets meet exactly, in linear
+work, at the fingerprints near them (see ``_through_hubs``).
 
 Defined results: null text counts as empty; no word gives fingerprint zero,
 which links like any other; fewer words than a shingle give one shingle of all
@@ -22,6 +24,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +33,8 @@ from .common import materialize, pick, table
 from .components import components
 
 BITS = 64
-#: Fingerprints in a bucket up to which its pairs are compared directly.
-BUCKET_LIMIT = 200
+#: Fingerprints in a bucket up to which its pairs are joined, and up to which one task compares them.
+BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,9 +47,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[ \\t-\\r]+"), "")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the 64-bit SimHash of every row's whole text."""
-    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
+def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
+    """(key, fp): the 64-bit SimHash of every row's whole text. ``distinct``: each word counts once."""
+    own = words(F.col(text))
+    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), (F.array_distinct(own) if distinct else own).alias("_w"))
     at = F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))
     spans = rows.select("_row", "_key", "_w", F.explode(at).alias("_i"))
     # get() gives null beyond the end and concat_ws skips nulls: a short text is one shingle.
@@ -90,7 +95,25 @@ def _through_hubs(points: DataFrame, radius: int) -> DataFrame:
     return around(radius - near).join(hubs, "z").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def links(points: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def _forest(radius: int):
+    """For the fingerprints of one bucket: links that connect what all links within ``radius`` connect."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        fp = np.sort(rows["fp"].to_numpy()).view(np.uint64)
+        root = np.arange(len(fp))
+        edges = []
+        for i in range(1, len(fp)):
+            near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
+            for r in np.unique(root[near]):
+                edges.append((fp[i], fp[near[root[near] == r][0]]))
+                root[: i + 1][root[: i + 1] == r] = i
+            root[i] = i
+        return pd.DataFrame(np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
+
+    return run
+
+
+def links(points: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints ``points`` (fp) with the components of all links within ``radius``."""
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("kept")) for t, m in enumerate(covering_masks(radius))]
     keyed = points.select("fp", F.inline(F.array(*tables)))
@@ -98,22 +121,26 @@ def links(points: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT) -> D
     shared = materialize(keyed.join(sizes, ["t", "kept"]), "buckets")
     light = shared.where(F.col("n") <= bucket_limit)
     a, b = (light.select("t", "kept", F.col("fp").alias(c)) for c in "uv")
-    close = F.expr(f"u < v AND bit_count(u ^ v) <= {radius}")
-    edges = a.join(b, ["t", "kept"]).where(close).select("u", "v")
-    heavy = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
-    if not heavy.isEmpty():
-        edges = edges.union(_through_hubs(heavy, radius))
+    edges = a.join(b, ["t", "kept"]).where(f"u < v AND bit_count(u ^ v) <= {radius}").select("u", "v")
+    large = shared.where(F.col("n") > bucket_limit)
+    if not large.isEmpty():
+        edges = edges.union(large.where(F.col("n") <= group_limit).groupBy("t", "kept").applyInPandas(_forest(radius), "u bigint, v bigint"))
+        heavy = large.where(F.col("n") > group_limit).select("fp").distinct()
+        if not heavy.isEmpty():
+            edges = edges.union(_through_hubs(heavy, radius))
     return edges
 
 
-def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", distinct: bool = False, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(key, fingerprint, component_id) for every row."""
-    marked = materialize(fingerprints(docs, shingle, key, text), "fingerprints")
+    marked = materialize(fingerprints(docs, shingle, key, text, distinct), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    rooted = components(links(marked.select("fp").distinct(), radius, bucket_limit))
+    rooted = components(links(marked.select("fp").distinct(), radius, bucket_limit, group_limit))
     linked = rooted.join(classes, rooted["node"] == classes["fp"]).select("fp", "root", "least")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(linked.join(whole, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written first, so that the join below has plain shuffles on both sides and a hot fingerprint's partition can be split.
+    named = materialize(named, "classes")
     return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
