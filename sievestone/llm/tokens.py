@@ -17,13 +17,31 @@ from functools import cache
 
 import numpy as np
 
-#: Pieces that one worker keeps; the table starts anew beyond that.
-KEPT_PIECES = 400_000
+#: Pieces that one worker keeps; beyond that, the half that was used most goes on.
+KEPT_PIECES = 500_000
 #: Characters that are cut and looked up at a time.
 SEGMENT = 1_000_000
+#: New pieces that the library gets as one string.
+JOINED = 256
 
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
+#: Begins a piece that has no blank before it.
+_BARE = "\0"
+#: A full stop or comma that ends a word is a token of its own, so it is cut off.
+_STOP = re.compile(r"([.,])(?<=[^\W_].)(?=[ \n]|\Z)")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s\s")
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Stands between joined pieces where blanks are dropped: a word of its own, with an id of its own.
+_MARK = "\x01"
+
+
+def _even(text: str) -> bool:
+    """No white space at either end, and no blank beside other white space."""
+    if text[0].isspace() or text[-1].isspace():
+        return False
+    if text.isascii() and not any(map(text.__contains__, _RARE)):
+        return not ("  " in text or " \n" in text or "\n " in text)
+    return not _ODD.search(text)
 
 
 def default_path(name: str) -> str:
@@ -45,37 +63,87 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
         self.drops_blanks = drops_blanks
+        if drops_blanks:
+            (self.mark,) = self._library([_MARK])[0].ids
+        else:
+            names = self.tokenizer.get_vocab()
+            self.bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
+            for name, i in names.items():
+                self.bytes[i] = len(name)  # a character of a byte-level token is a byte
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        #: A key stands for itself after a blank, or after _BARE for the rest of it as it is; where blanks are dropped, for itself.
+        self.number: dict[str, int] = {"": 0} if self.drops_blanks else {}
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.first = np.zeros(1 << 14, dtype=np.int64)
-        self.count = np.zeros(1 << 14, dtype=np.int32)
+        self.count = np.zeros(1 << 14, dtype=np.int64)
+        self.uses = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, pieces: set[str]) -> None:
-        fresh = list(pieces)
-        at = len(self.number)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
-        more = int(lengths.sum())
+    def _keep_half(self) -> None:
+        keys, n = list(self.number), len(self.number)
+        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: KEPT_PIECES // 2])
+        kept = kept[(self.uses[kept] > 1) | (kept == 0)]
+        parts = [self.ids[a : a + c] for a, c in zip(self.first[kept], self.count[kept], strict=True)]
+        fresh = [keys[i] for i in kept.tolist()]
+        self._clear()
+        self.number = {}
+        if fresh:
+            self._add(fresh, np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64))
+
+    def _add(self, keys: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, more = len(self.number), len(ids)
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(fresh) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.used : self.used + more] = np.fromiter((i for x in found for i in x), dtype=np.int32, count=more)
-        self.count[at : at + len(fresh)] = lengths
-        self.first[at : at + len(fresh)] = self.used + np.cumsum(lengths) - lengths
+        while at + len(keys) > len(self.first):
+            self.first, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.uses))
+        self.ids[self.used : self.used + more] = ids
+        self.count[at : at + len(keys)] = lengths
+        self.first[at : at + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.used += more
-        self.number.update(zip(fresh, range(at, at + len(fresh))))
-
-    def _pieces(self, text: str) -> list[str]:
+        self.number.update(zip(keys, range(at, at + len(keys)), strict=True))
+
+    def _one_by_one(self, keys: list[str]) -> None:
+        found = [e.ids for e in self._library([k if self.drops_blanks else k[1:] if k[:1] == _BARE else " " + k for k in keys])]
+        self._add(keys, np.array([i for x in found for i in x], dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64))
+
+    def _library(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _learn(self, fresh: set) -> None:
+        """New pieces go to the library many to a string, cut again where each one's ids end."""
+        plain, odd = [], []
+        for k in fresh:
+            fits = k and (_MARK not in k if self.drops_blanks else k[0] != _BARE and not (k[0].isspace() or k[-1].isspace()))
+            (plain if fits else odd).append(k)
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        glue = f" {_MARK} "
+        strings = [glue.join(g) if self.drops_blanks else " " + " ".join(g) for g in groups]
+        for group, found in zip(groups, self._library(strings), strict=True):
+            ids = np.array(found.ids, dtype=np.int32)
+            if self.drops_blanks:
+                marks = np.flatnonzero(ids == self.mark)
+                ends = np.append(marks, len(ids)) - np.arange(len(marks) + 1)
+                ids = ids[ids != self.mark]
+            else:
+                ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(k.encode()) + 1 for k in group])) + 1
+            self._add(group, ids, np.diff(ends, prepend=0))
+        if odd:
+            self._one_by_one(odd)
+
+    def _pieces(self, text: str, begins: bool = True) -> list[str]:
         if self.drops_blanks:
-            return text.replace("\n", " ").split(" ")
-        pieces = _BETWEEN.split(text) if _ODD.search(text) else text.split(" ")
-        pieces[1:] = [" " + x for x in pieces[1:]]
+            text = text.lower() if text.isascii() else text
+            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        led = _BARE if begins else ""
+        if _BARE in text:  # the mark itself occurs: the text goes to the library whole
+            return [_BARE + (text if begins else " " + text)]
+        if _even(text) and "\n\n" not in text:
+            # between words, a line end is a token of its own
+            return (led + _STOP.sub(" \0\\1", text).replace("\n", " \0\n \0")).split(" ")
+        pieces = _BETWEEN.split(text)
+        pieces[0] = led + pieces[0]
         return pieces
 
     def _long(self, text: str):
@@ -84,14 +152,11 @@ class Encoder:
         while start < len(text):
             cut = _BETWEEN.search(text, start + SEGMENT)
             end = cut.start() if cut else len(text)
-            pieces = self._pieces(text[start:end])
-            if start and not self.drops_blanks:
-                pieces[0] = " " + pieces[0]
-            yield pieces
+            yield self._pieces(text[start:end], not start)
             start = end + 1
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces: list[str] = []
+        pieces: list = []
         ends = []
         for text in texts:
             if text:
@@ -100,14 +165,15 @@ class Encoder:
         ids, total = self._look_up(pieces)
         return ids, np.diff(total[np.array(ends, dtype=np.int64)], prepend=0)
 
-    def _look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         if fresh := set(pieces).difference(self.number):
             if len(self.number) + len(fresh) > KEPT_PIECES:
-                self._clear()
-                fresh = set(pieces) - {""}
+                self._keep_half()
+                fresh = set(pieces).difference(self.number)
             self._learn(fresh)
         n = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        count = self.count[n].astype(np.int64)
+        self.uses[: len(self.number)] += np.bincount(n, minlength=len(self.number))
+        count = self.count[n]
         total = np.concatenate([[0], np.cumsum(count)])
         return self.ids[np.repeat(self.first[n] - total[:-1], count) + np.arange(total[-1])], total
 
