@@ -1,7 +1,64 @@
-"""Placeholder until the stages are in place."""
-STAGES = []
+"""A corpus from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before kept,
+written as Parquet and read again. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievestone.llm.common import materialize, table
+from sievestone.llm.decontaminate import without_leaks
+from sievestone.llm.langid import UNKNOWN, identify, learn_profiles
+from sievestone.llm.packing import pack_documents
+from sievestone.llm.quality import learn_quality, score_quality
+from sievestone.llm.simhash import near_copies
+
+#: Lead over the next language from which a prediction overrules the declared language.
+SURE = 0.25
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be label 1; it learns from all labels."""
+    ranker = learn_quality(docs, table(spark, sf_dir, "labels"), lambda doc_id: F.lit(True))
+    return score_quality(docs, ranker, *docs.columns, names=("_score", "_predicted")).where("_predicted = 1").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language, save those whose text surely is in another one than they declare."""
+    found = identify(docs, learn_profiles(docs.select("doc_id", "text", "lang")), *docs.columns, names=("_lang", "_score"))
+    agrees = F.col("lang").isNull() | (F.col("lang") == F.col("_lang")) | (F.col("_score") < SURE)
+    return found.where((F.col("_lang") != UNKNOWN) & agrees).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near copies; rows without an id stay."""
+    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct().withColumn("_kept", F.lit(True))
+    return docs.join(kept, "doc_id", "left").where("_kept OR doc_id IS NULL").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 token ids."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,10 +24,12 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,18 +170,22 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(i[j]), j
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, item_id, at_token, n_tokens, n_equal, similarity): a row for each document and item that it leaks."""
-    spark = docs.sparkSession
+def seed_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Broadcast]:
+    """The seeds of all items, broadcast in blocks of whole items with about ``block_tokens`` tokens at most."""
     items = pick(benchmark, "item_id", "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
     blocks = -(-total // block_tokens) or 1
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    schema = "doc_id bigint, item_id bigint, at_token bigint, n_tokens bigint, n_equal bigint, similarity double"
-    found = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        seeds = spark.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in block]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in block]))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, item_id, at_token, n_tokens, n_equal, similarity): a row for each document and item that it leaks."""
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    schema = "doc_id bigint, item_id bigint, at_token bigint, n_tokens bigint, n_equal bigint, similarity double"
+    parts = []
+    for seeds in seed_blocks(benchmark, block_tokens):
 
         def search(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -187,9 +193,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "at_token", "n_tokens", "n_equal", "similarity"])
 
-        part = rows.mapInArrow(search, schema)
-        found = part if found is None else found.union(part)
-    return found
+        parts.append(rows.mapInArrow(search, schema))
+    return reduce(DataFrame.union, parts)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item of the benchmark."""
+    for seeds in seed_blocks(benchmark, block_tokens):
+
+        def clean(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not seeds.value.search(t) for t in batch.column("text").to_pylist()], type=pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op5_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

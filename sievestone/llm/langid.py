@@ -110,17 +110,17 @@ def learn_profiles(rows: DataFrame, learn_docs: int = LEARN_DOCS) -> Profiles:
     return Profiles(grams)
 
 
-def identify(docs: DataFrame, profiles: Profiles, *kept: str) -> DataFrame:
-    """The columns ``kept`` of ``docs`` with lang_pred and score, from its text alone."""
+def identify(docs: DataFrame, profiles: Profiles, *kept: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``kept`` of ``docs``, the language of its text and the score under ``names``."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in found], type=pa.string()), pa.array([s for _, s in found], type=pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in found], type=pa.string()), pa.array([s for _, s in found], type=pa.float64())], names=[*kept, *names])
 
     kinds = dict(docs.dtypes)
     columns = pick(docs, *dict.fromkeys([*kept, "text"]))
-    return columns.mapInArrow(predict, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "lang_pred string", "score double"]))
+    return columns.mapInArrow(predict, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def remainder(key: Column, n: int) -> Column:

@@ -11,7 +11,8 @@ Copies share a fingerprint and are searched as one. Up to ``BUCKET_LIMIT``
 fingerprints in a bucket are joined pair by pair; up to ``GROUP_LIMIT`` (a few
 hundred kB) are compared in one task that emits a spanning forest of their
 links, never all pairs; the members of larger buckets meet exactly, in linear
-work, at the fingerprints near them (see ``_through_hubs``).
+work, at the fingerprints near them (see ``_through_hubs``) or, where the
+radius is too wide for that, in blocks of bounded size.
 
 Defined results: null text counts as empty; no word gives fingerprint zero,
 which links like any other; fewer words than a shingle give one shingle of all
@@ -35,6 +36,10 @@ from .components import components
 BITS = 64
 #: Fingerprints in a bucket up to which its pairs are joined, and up to which one task compares them.
 BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
+#: Radius up to which hubs take less work than comparing all members of a bucket.
+HUB_RADIUS = 3
+#: Bits of near copies: of their distinct words' SimHash, and of their shingles'.
+WORD_RADIUS, SHINGLE_RADIUS = 6, 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,24 +52,49 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[ \\t-\\r]+"), "")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
-    """(key, fp): the 64-bit SimHash of every row's whole text. ``distinct``: each word counts once."""
-    own = words(F.col(text))
-    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), (F.array_distinct(own) if distinct else own).alias("_w"))
-    at = F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))
-    spans = rows.select("_row", "_key", "_w", F.explode(at).alias("_i"))
-    # get() gives null beyond the end and concat_ws skips nulls: a short text is one shingle.
-    shingles = F.concat_ws(" ", *[F.get("_w", F.col("_i") + j) for j in range(shingle)])
-    hashed = spans.select("_row", "_key", F.when(F.size("_w") > 0, F.xxhash64(shingles)).otherwise(F.lit(0).cast("bigint")).alias("_h"))
-    # Two 32-bit counters a sum: 32 sums hold the 64 bit counts.
-    pair = F.lit((1 << 32) | 1)
-    sums = [F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(pair)).alias(f"_s{j}") for j in range(32)]
-    counted = hashed.groupBy("_row", "_key").agg(F.count("*").alias("_n"), *sums)
+def _majority(sums: list[str], count: str) -> Column:
+    """The word whose bit b is set if more than half of ``count`` hashes had it; each sum holds two 32-bit counts."""
     bits = []
     for b in range(BITS):
-        count = F.shiftrightunsigned(f"_s{b % 32}", 32) if b >= 32 else F.col(f"_s{b}").bitwiseAND(F.lit((1 << 32) - 1))
-        bits.append(F.when(count * 2 > F.col("_n"), F.lit(signed(1 << b))).otherwise(F.lit(0).cast("bigint")))
-    return counted.select(F.col("_key").alias(key), reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
+        n = F.shiftrightunsigned(sums[b % 32], 32) if b >= 32 else F.col(sums[b]).bitwiseAND(F.lit((1 << 32) - 1))
+        bits.append(F.when(n * 2 > F.col(count), F.lit(signed(1 << b))).otherwise(F.lit(0).cast("bigint")))
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def _bit_sums(hashed: Column, name: str) -> list[Column]:
+    pair = F.lit((1 << 32) | 1)
+    return [F.sum(F.shiftrightunsigned(hashed, j).bitwiseAND(pair)).alias(f"_{name}{j}") for j in range(32)]
+
+
+def _shingle(words_: str, at: Column, size: int) -> Column:
+    """get() gives null beyond the end and concat_ws skips nulls: a short text is one shingle."""
+    return F.concat_ws(" ", *[F.get(words_, at + j) for j in range(size)])
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp): the 64-bit SimHash of every row's whole text."""
+    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
+    spans = rows.select("_row", "_key", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
+    hashed = F.when(F.size("_w") > 0, F.xxhash64(_shingle("_w", F.col("_i"), shingle))).otherwise(F.lit(0).cast("bigint"))
+    counted = spans.select("_row", "_key", hashed.alias("_h")).groupBy("_row", "_key").agg(F.count("*").alias("_n"), *_bit_sums(F.col("_h"), "s"))
+    return counted.select(F.col("_key").alias(key), _majority([f"_s{j}" for j in range(32)], "_n").alias("fp"))
+
+
+def word_and_shingle_fingerprints(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp, check): the SimHash of the distinct words, and of the shingles, in one pass."""
+    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
+    rows = rows.select("*", F.array_distinct("_w").alias("_d"))
+    many = F.size("_d")
+    spans = rows.select("_row", "_key", "_w", "_d", F.explode(F.sequence(F.lit(0), many + F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
+    of_words = F.col("_i") < many
+    zero = F.lit(0).cast("bigint")
+    hashed = spans.select(
+        "_row", "_key", of_words.alias("_o"),
+        F.when(of_words, F.xxhash64(F.get("_d", F.col("_i")))).otherwise(zero).alias("_a"),
+        F.when(of_words | (many == 0), zero).otherwise(F.xxhash64(_shingle("_w", F.col("_i") - many, shingle))).alias("_b"),
+    )
+    counted = hashed.groupBy("_row", "_key").agg(F.count_if("_o").alias("_m"), F.count_if(~F.col("_o")).alias("_n"), *_bit_sums(F.col("_a"), "s"), *_bit_sums(F.col("_b"), "t"))
+    return counted.select(F.col("_key").alias(key), _majority([f"_s{j}" for j in range(32)], "_m").alias("fp"), _majority([f"_t{j}" for j in range(32)], "_n").alias("check"))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -95,53 +125,85 @@ def _through_hubs(points: DataFrame, radius: int) -> DataFrame:
     return around(radius - near).join(hubs, "z").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def _forest(radius: int):
-    """For the fingerprints of one bucket: links that connect what all links within ``radius`` connect."""
+def _forest(radius: int, check_radius: int):
+    """For the points of one bucket: links that connect what all its links connect."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(rows["fp"].to_numpy()).view(np.uint64)
-        root = np.arange(len(fp))
+        rows = rows.sort_values("id")
+        ids, fp, check = (rows[c].to_numpy() for c in ("id", "fp", "check"))
+        root = np.arange(len(ids))
         edges = []
-        for i in range(1, len(fp)):
-            near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
+        for i in range(1, len(ids)):
+            near = np.flatnonzero((np.bitwise_count((fp[:i] ^ fp[i]).view(np.uint64)) <= radius) & (np.bitwise_count((check[:i] ^ check[i]).view(np.uint64)) <= check_radius))
             for r in np.unique(root[near]):
-                edges.append((fp[i], fp[near[root[near] == r][0]]))
-                root[: i + 1][root[: i + 1] == r] = i
+                edges.append((ids[i], ids[near[root[near] == r][0]]))
+                root[:i][root[:i] == r] = i
             root[i] = i
-        return pd.DataFrame(np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
+        return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["u", "v"])
 
     return run
 
 
-def links(points: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Edges (u, v) between the distinct fingerprints ``points`` (fp) with the components of all links within ``radius``."""
+def links(points: DataFrame, radius: int, check_radius: int = BITS, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Edges (u, v) between ids of ``points`` (id, fp, check) with the components of all links.
+
+    Two points link if fp differs in at most ``radius`` bits and check in at most ``check_radius``.
+    """
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("kept")) for t, m in enumerate(covering_masks(radius))]
-    keyed = points.select("fp", F.inline(F.array(*tables)))
+    keyed = points.select("id", "fp", "check", F.inline(F.array(*tables)))
     sizes = keyed.groupBy("t", "kept").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keyed.join(sizes, ["t", "kept"]), "buckets")
     light = shared.where(F.col("n") <= bucket_limit)
-    a, b = (light.select("t", "kept", F.col("fp").alias(c)) for c in "uv")
-    edges = a.join(b, ["t", "kept"]).where(f"u < v AND bit_count(u ^ v) <= {radius}").select("u", "v")
+    a, b = (light.select("t", "kept", F.col("id").alias(i), F.col("fp").alias(f), F.col("check").alias(c)) for i, f, c in (("u", "f", "c"), ("v", "g", "d")))
+    edges = a.join(b, ["t", "kept"]).where(f"u < v AND bit_count(f ^ g) <= {radius} AND bit_count(c ^ d) <= {check_radius}").select("u", "v")
     large = shared.where(F.col("n") > bucket_limit)
-    if not large.isEmpty():
-        edges = edges.union(large.where(F.col("n") <= group_limit).groupBy("t", "kept").applyInPandas(_forest(radius), "u bigint, v bigint"))
+    if large.isEmpty():
+        return edges
+    hubs = check_radius >= BITS and radius <= HUB_RADIUS
+    # A bucket over the limit is dealt into halves of the limit, and every two of them meet in a task.
+    halves = F.when(F.col("n") <= group_limit, 1).otherwise(F.ceil(F.col("n") * 2 / group_limit)).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.col("halves")).cast("int")
+    dealt = (large.where(F.col("n") <= group_limit) if hubs else large).withColumn("halves", halves).withColumn("p", part).select("*", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("q"))
+    dealt = dealt.select("t", "kept", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "id", "fp", "check")
+    edges = edges.union(dealt.groupBy("t", "kept", "low", "high").applyInPandas(_forest(radius, check_radius), "u bigint, v bigint"))
+    if hubs:
         heavy = large.where(F.col("n") > group_limit).select("fp").distinct()
         if not heavy.isEmpty():
             edges = edges.union(_through_hubs(heavy, radius))
     return edges
 
 
-def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", distinct: bool = False, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(key, fingerprint, component_id) for every row."""
-    marked = materialize(fingerprints(docs, shingle, key, text, distinct), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    rooted = components(links(marked.select("fp").distinct(), radius, bucket_limit, group_limit))
-    linked = rooted.join(classes, rooted["node"] == classes["fp"]).select("fp", "root", "least")
+def _named_components(marked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(id, component_id): the least key of each id's component; ``marked`` has key and id."""
+    classes = marked.groupBy("id").agg(F.min(key).alias("least"))
+    rooted = components(edges)
+    linked = rooted.join(classes, rooted["node"] == classes["id"]).select("id", "root", "least")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(linked.join(whole, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # Written first, so that the join below has plain shuffles on both sides and a hot fingerprint's partition can be split.
-    named = materialize(named, "classes")
-    return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(linked.join(whole, "root").select("id", "component_id"), "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
+    # Written first, so that a join with it has plain shuffles on both sides and a hot id's partition can be split.
+    return materialize(named, "classes")
+
+
+def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(key, fingerprint, component_id) for every row."""
+    marked = materialize(fingerprints(docs, shingle, key, text).withColumnRenamed("fp", "id"), "fingerprints")
+    points = marked.select("id").distinct().select("id", F.col("id").alias("fp"), F.lit(0).cast("bigint").alias("check"))
+    named = _named_components(marked, links(points, radius, BITS, bucket_limit, group_limit), key)
+    return marked.join(named, "id").select(key, F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS, check_radius: int = SHINGLE_RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id): groups of near copies, similarity about 0.8 or more on shingles.
+
+    Candidates: SimHashes of the distinct words within ``radius`` bits, found by
+    covering tables. A candidate links if the SimHashes of its shingles differ
+    in at most ``check_radius`` bits. (At a Jaccard similarity of 0.8 these differ
+    in 64 * acos(8/9) / pi, about 10, on the average.)
+    """
+    marked = materialize(word_and_shingle_fingerprints(docs, shingle, key, text).withColumn("id", F.xxhash64("fp", "check")), "fingerprints")
+    points = marked.select("id", "fp", "check").dropDuplicates(["id"])
+    named = _named_components(marked, links(points, radius, check_radius), key)
+    return marked.join(named, "id").select(key, "component_id")
 
 
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
