@@ -6,8 +6,9 @@ LEAST_OVERLAP tokens differs from an item in up to a fifth of its places, at
 least one mask finds all it looks at unchanged. The seeds' hashes of benchmark
 items and documents are joined; around every hit the item is laid over the
 document and the longest stretch with at least SIMILAR equal tokens is taken.
-It is a leak from LEAST_OVERLAP tokens on, or if it is the whole of a shorter
-item of at least WEIGHT tokens.
+It is a leak from LEAST_OVERLAP tokens on. A shorter item, of WEIGHT tokens at
+least, is a leak where it stands whole and unchanged; such items have a seed
+without gaps.
 
 Tokens: pieces between white space, without punctuation at either end, in lower
 case; a piece of punctuation alone is none. Benchmarks of more than
@@ -60,6 +61,7 @@ def choose_masks(span: int = LEAST_OVERLAP, weight: int = WEIGHT, changed: int =
 
 
 MASKS = choose_masks()
+SHORT_MASK = tuple(range(WEIGHT))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -110,8 +112,10 @@ class Seeds:
             tokens = [t for t in map(normal, text.split()) if t]
             self.items.append((key, np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens], dtype=np.int64)))
         hashes, owners, places = [], [], []
+        short = [len(t) < LEAST_OVERLAP for _, t in self.items]
+        self.masks = [*MASKS, *[SHORT_MASK] * any(short)]
         for i, (_, tokens) in enumerate(self.items):
-            for mask in MASKS:
+            for mask in [SHORT_MASK] if short[i] else MASKS:
                 h = seed_hashes(tokens, mask)
                 hashes.append(h)
                 owners.append(np.full(len(h), i))
@@ -135,7 +139,7 @@ class Seeds:
     def _hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
         """(item, where the item would begin in the document) of every seed hit."""
         found: set[tuple[int, int]] = set()
-        for mask in MASKS:
+        for mask in self.masks:
             h = seed_hashes(tokens, mask)
             at = np.flatnonzero(self.may[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
             low, high = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
@@ -154,7 +158,7 @@ class Seeds:
             a, b = max(0, start), min(len(tokens), start + len(item))
             equal = tokens[a:b] == item[a - start : b - start]
             i, j = longest_stretch(equal)
-            if j - i >= min(LEAST_OVERLAP, len(item)):
+            if j - i >= LEAST_OVERLAP or len(item) < LEAST_OVERLAP and len(equal) == len(item) and equal.all():
                 now = (j - i, -(a + i), int(equal[i:j].sum()))
                 best[key] = max(best.get(key, now), now)
         return [(k, -s, n, e) for k, (n, s, e) in sorted(best.items())]

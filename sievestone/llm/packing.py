@@ -162,14 +162,14 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     """Pieces of token sequences of at most ``window`` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     parts = max(1, rows.rdd.getNumPartitions())
-    now = materialize(rows.mapInArrow(_first_round(vocabulary, end_id, drops_blanks, window, most_open), SCHEMA), "packed")
+    now = materialize(rows.mapInArrow(_first_round(vocabulary, end_id, drops_blanks, window, most_open), SCHEMA), "packed", "snappy")
     done = now.where("NOT still_open")
     turn = 0
     while True:
         parts, turn = -(-parts // FAN_IN), turn + 1
         left = now.where("still_open").withColumn("_to", F.shiftright(F.col("sequence_id").bitwiseAND(F.lit((1 << 56) - 1)), 32) % parts)
         dealt = left.repartitionById(parts, F.col("_to").cast("int")) if hasattr(left, "repartitionById") else left.repartition(parts, "_to")
-        now = materialize(dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_merge_round(turn, window, parts == 1), SCHEMA), "packed")
+        now = materialize(dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_merge_round(turn, window, parts == 1), SCHEMA), "packed", "snappy")
         done = done.union(now.where("NOT still_open"))
         if parts == 1:
             return done.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")

@@ -44,6 +44,15 @@ def _even(text: str) -> bool:
     return not _ODD.search(text)
 
 
+def _folded(text: str) -> str:
+    """In lower case, where that is sure to be what a tokenizer that lowers case does: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def default_path(name: str) -> str:
     """Where the installed public tokenizer ``name`` lies, on whichever machine asks."""
     import public_tokenizers
@@ -65,6 +74,7 @@ class Encoder:
         self.drops_blanks = drops_blanks
         if drops_blanks:
             (self.mark,) = self._library([_MARK])[0].ids
+            self.lowers = self._library(["A"])[0].ids == self._library(["a"])[0].ids
         else:
             names = self.tokenizer.get_vocab()
             self.bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
@@ -134,8 +144,7 @@ class Encoder:
 
     def _pieces(self, text: str, begins: bool = True) -> list[str]:
         if self.drops_blanks:
-            text = text.lower() if text.isascii() else text
-            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+            return _STOP.sub(r" \1", _folded(text) if self.lowers else text).replace("\n", " ").split(" ")
         led = _BARE if begins else ""
         if _BARE in text:  # the mark itself occurs: the text goes to the library whole
             return [_BARE + (text if begins else " " + text)]
