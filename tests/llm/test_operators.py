@@ -1,0 +1,354 @@
+"""The operators for training data against brute force on small tables, with the awkward rows in each."""
+
+import hashlib
+import random
+import re
+import unicodedata
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sievestone.llm import decontaminate, exact_digest, html_extract, langid, packing, quality, sharding, simhash, token_orc, toxicity
+from sievestone.llm.dom import blocks, parse
+from sievestone.llm.tokens import Encoder
+
+# null, empty, blank, unusual, repeated and long texts; an extra column with a clashing name
+ROWS = [(5, "The cat sat, on 3.5 mats.\nAnd slept"), (1, None), (9, ""), (3, "  \n\t "), (7, "the Cat  sat"), (-2, "é ﬁ Straße <|endoftext|> 　x" * 40), (8, "dup text of five words"), (6, "dup text of five words"), (4, "w " * 3000), (10, "\x00 \x01 a,b.")]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, t, "x", 1.0) for i, t in ROWS], "doc_id bigint, text string, shard string, score double")
+
+
+@pytest.fixture
+def none(docs):
+    return docs.where("doc_id > 100")
+
+
+def library_ids(name, texts, end):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return [np.array([*e.ids, end], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_pieces_encode_as_the_whole(name, drops, monkeypatch):
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "a", "b.", "the,", "'s", "12", "é", "Σ", "!!", "_", "<|endoftext|>", "\x1c", "\0", "\x01", "　", "\U0001f600", "\r\n", ". ", ", "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    from sievestone.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 500)
+    enc = Encoder(public_tokenizers.path(name), drops)
+    got = []
+    for _, ids, n in enc.encode(texts):
+        at = np.concatenate([[0], np.cumsum(n)])
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "SEGMENT", 50)
+    long = " ".join(texts[:500])
+    assert np.concatenate([ids for _, ids, _ in enc.encode([long])]).tolist() == enc.tokenizer.encode(long, add_special_tokens=False).ids
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    path = f"file://{tmp_path}/t"
+    token_orc.write_token_files(docs, path)
+    files = token_orc.read_token_files(spark, path)
+    got = token_orc.with_starts(files, files).orderBy("start").collect()
+    rows = sorted(ROWS, key=lambda r: r[0])
+    want = library_ids("byte_bpe_50k.json", [t for _, t in rows], 0)
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows]
+    assert [r["ids"] for r in got] == [w.tolist() for w in want]
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([len(w) for w in want])])[:-1].tolist()
+    token_orc.write_token_files(none, f"file://{tmp_path}/e")
+    assert token_orc.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def jump(key, n):
+    b, j, key = -1, 0, key % 2**64
+    while j < n:
+        b = j
+        key = (key * sharding.MULTIPLIER + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_shards(spark, docs, none):
+    got = sharding.assign_shards(docs, 16).collect()
+    for r in got:
+        text = (dict(ROWS)[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 1, zlib.crc32(text))
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"], 16), jump(r["doc_id"], 17))
+        assert r["grown_shard"] in (r["shard"], 16)
+    for s in {r["shard"] for r in got}:
+        own = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own))) and [r["doc_id"] for r in own] == sorted(r["doc_id"] for r in own)
+    assert sharding.assign_shards(none, 16).count() == 0
+    keys = spark.range(3000).select("id", sharding.jump_hash(F.col("id"), 1000).alias("s")).collect()
+    assert all(r["s"] == jump(r["id"], 1000) for r in keys)  # beyond the short walk too
+
+
+def test_packing(spark, docs, none):
+    got = packing.pack_documents(docs.repartition(3), window=64, most_open=2).collect()
+    want = dict(zip([i for i, _ in ROWS], library_ids("word_bpe_49k.json", [t for _, t in ROWS], 1)))
+    for i, ids in want.items():
+        own = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum((r["ids"] for r in own), []) == ids.tolist() and [r["start"] for r in own] == [sum(len(x["ids"]) for x in own[:k]) for k in range(len(own))]
+    for s in {r["sequence_id"] for r in got}:
+        own = sorted((r for r in got if r["sequence_id"] == s), key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:k]) for k in range(len(own))] and sum(r["length"] for r in own) <= 64
+    assert packing.pack_documents(none).count() == 0
+
+
+def canon(t):
+    n = lambda s: unicodedata.normalize("NFKC", s)
+    return re.sub(r"\s+", " ", n(n(t or "").casefold())).strip(" ")
+
+
+def wide(c):
+    return f"{xxhash.xxh64_intdigest(c.encode(), 42):016x}{xxhash.xxh64_intdigest(c.encode(), xxhash.xxh64_intdigest(b'wide', 42)):016x}"
+
+
+def test_digests(spark, docs, none, tmp_path):
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in exact_digest.op9_canonical_digest(spark, f"file://{tmp_path}").collect()}
+    order = sorted(ROWS, reverse=True, key=lambda r: r[0])
+    assert len(got) == len(ROWS)
+    for (i, t), (_, x) in zip(order, order[1:] + order[:1]):
+        t, x = t or "", x or ""
+        edited = t[: len(t) - len(t) // 3] + x[: len(t) // 3]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (wide(canon(t)), wide(canon(edited)))
+        assert (r["near_edited"], r["near_next"]) == (float(canon(t) == canon(edited)), float(canon(t) == canon(x)))
+    assert got[8]["group_id"] == 6 and got[8]["group_size"] == 2
+    assert exact_digest.fingerprint_documents(none).count() == 0
+
+
+def test_equal_hashes_are_told_apart(docs, monkeypatch):
+    monkeypatch.setattr(exact_digest, "wide_hash", lambda c: F.lit("0"))  # all collide
+    got = exact_digest.fingerprint_documents(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(canon(dict(ROWS)[r["doc_id"]]), set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+def simhash_of(text, k=3):
+    w = re.findall("[^ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_masks_cover():
+    rng = random.Random(5)
+    for radius in (1, 3, 6):
+        masks = simhash.covering_masks(radius)
+        for _ in range(2000):
+            flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
+            assert any(not m & flips for m in masks)
+
+
+@pytest.mark.parametrize("limits", [(200, 20_000), (1, 20_000), (1, 3), (1, 1)])
+def test_near_components(spark, docs, limits):
+    rng = random.Random(1)
+    base = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(60)) for _ in range(4)]
+    texts = [*(t for _, t in ROWS), *base]
+    for b in base:
+        for _ in range(12):
+            w = b.split()
+            w[rng.randrange(60)] = "zz"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in simhash.near_components(df, bucket_limit=limits[0], group_limit=limits[1]).collect()}
+    fps = [simhash_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert [int(got[i]["fingerprint"], 16) for i in range(len(texts))] == fps
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+
+
+def test_near_copies(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(30)]
+    copies = []
+    for t in texts[:10]:
+        w = t.split()
+        w[rng.randrange(200)] = word()
+        copies.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert sum(got[30 + i] == i for i in range(10)) >= 9 and all(got[i] == i for i in range(30))
+    assert simhash.near_copies(df.where("doc_id < 0")).count() == 0
+
+
+def test_language(spark, docs, none):
+    en, fr = "the cat and the dog went to the house with that thing ", "le chat et le chien sont dans une maison avec des choses "
+    rows = [(i, " ".join(random.Random(i).sample((en if i % 2 else fr).split(), 8)), "en" if i % 2 else "fr") for i in range(60)]
+    profiles = langid.learn_profiles(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = spark.createDataFrame([(1, en), (2, fr.upper()), (3, None), (4, "123 !?"), (5, "")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in langid.identify(asked, profiles, "doc_id").collect()}
+    assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "fr", "und", "und", "und"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.identify(none, profiles, "doc_id").count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.Profiles({}), "doc_id").collect()} == {"und"}
+
+
+def test_profile_distance():
+    profiles = langid.Profiles({"a": [1, 2, 3], "b": [3, 2, 1]})
+    codes, counts = langid.gram_counts("ab ab")
+    assert dict(zip(codes.tolist(), counts.tolist()))[97 | 98 << 21 | 0 << 42] == 2
+    assert langid.ranked(np.array([7, 5, 9]), np.array([1, 2, 1])).tolist() == [5, 7, 9]
+    assert profiles.predict("zz")[0] == "a"  # equal distances: the first
+
+
+def test_quality(spark, docs, none):
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) + str(rng.randint(0, 99)) for _ in range(50))
+    rows = [(i, prose() if i % 4 else prose().upper().replace(" ", "!! "), int(i % 4 > 0)) for i in range(200)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(7, None), (None, 1)], "doc_id bigint, quality int")
+    ranker = quality.learn_quality(df, labels, lambda c: c % 2 == 0)
+    got = {r["doc_id"]: r for r in quality.score_quality(df, ranker, "doc_id").collect()}
+    assert sum(got[i]["predicted"] == y for i, _, y in rows if i % 2) >= 98
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in quality.score_quality(docs, ranker, "doc_id").collect())
+    assert quality.score_quality(none, ranker, "doc_id").count() == 0
+    assert quality.learn_quality(df, labels.where("quality = 1"), lambda c: F.lit(True)) is None
+    assert {r["score"] for r in quality.score_quality(docs, None, "doc_id").collect()} == {0.5}
+
+
+def test_masks_find_any_two_substitutions():
+    from itertools import combinations
+
+    for changed in combinations(range(10), 2):
+        assert any(not {p + s for p in m} & set(changed) for m in decontaminate.MASKS for s in range(10 - m[-1]))
+
+
+def brute_leaks(text, items):
+    tok = lambda t: [x for x in map(decontaminate.normal, (t or "").split()) if x]
+    d, found = tok(text), set()
+    for key, item in items:
+        b = tok(item)
+        for start in range(-len(b), len(d)):
+            eq = [0 <= start + i < len(d) and d[start + i] == b[i] for i in range(len(b))]
+            for i in range(len(b)):
+                for j in range(i + min(10, len(b)), len(b) + 1):
+                    inside = start + i >= 0 and start + j <= len(d)
+                    if inside and len(b) >= 5 and 5 * sum(eq[i:j]) >= 4 * (j - i):
+                        found.add(key)
+    return found
+
+
+def test_leaks_against_brute_force(spark, docs, none):
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyz")
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((4, 5, 9, 10, 14, 30))] + [(6, None), (7, "")]
+    texts = []
+    for _ in range(150):
+        b = rng.choice(items[:6])[1].split()
+        i = rng.randrange(len(b))
+        cut = [w if rng.random() > 0.15 else "Q" for w in b[i // 2 :]]
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 9))] + [w.upper() + "," for w in cut] + [word() for _ in range(rng.randint(0, 9))]))
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (1_000_000, 30):  # in one block and in several
+        got = {}
+        for r in decontaminate.find_leaks(df, bench, block).collect():
+            got.setdefault(r["doc_id"], set()).add(r["item_id"])
+        for i, t in enumerate(texts):
+            want = brute_leaks(t, [(k, x) for k, x in items if x and len(x.split()) >= 10])
+            assert {k for k in got.get(i, set()) if k in (3, 4, 5)} == want
+            exact = {k for k, x in items[1:3] if f" {x} " in f" {' '.join(map(decontaminate.normal, t.split()))} "}
+            assert exact <= got.get(i, set())
+    kept = decontaminate.without_leaks(df, bench)
+    assert kept.columns == df.columns and kept.count() == 152 - len(got)
+    assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.where("item_id > 99")).count() == 0
+
+
+def test_toxicity(spark, docs, none):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(("an", "er", "to", "li", "ka", "so")) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(400):
+        w = [word() for _ in range(rng.randint(5, 120))]
+        if toxic := i % 3 == 0:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(("Idiot!", "moron", "vexu" + word())))
+        rows.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(3, None)], "doc_id bigint, toxic int")
+    scorer = toxicity.learn_toxicity(df, labels, lambda c: c % 5 != 0)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, scorer, "doc_id").collect()}
+    held = [r for r in rows if r[0] % 5 == 0]
+    assert sum(got[i]["predicted"] == y for i, _, y in held) >= 0.95 * len(held)
+    edge = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, scorer, "doc_id").collect()}
+    assert edge[1] == edge[9] == edge[3] == 0 and all(0 <= s <= 1 for s in edge.values())
+    long = " ".join(word() for _ in range(9000))
+    far = long[:30000] + " idiot moron idiot " + long[30000:]
+    assert scorer.score([far])[0] > 0.5  # no prefix is all that is read
+    assert toxicity.score_toxicity(none, scorer, "doc_id").count() == 0
+    assert {r["score"] for r in toxicity.score_toxicity(docs, None, "doc_id").collect()} == {0.0}
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network(5, rng)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, idx = rng.normal(size=(20, 5)), rng.integers(1, 20, size=(3, toxicity.WINDOW))
+    idx[1, 20:] = 0
+    mask, w = (idx > 0).astype(float), np.array([1.0, -2.0, 0.5])
+    loss = lambda: (net.forward(net.project(x), idx, mask)[0] * w).sum()
+    tapes = {"f": [], "b": []}
+    grad, _ = net.backward(net.forward(net.project(x), idx, mask, tapes)[1], w, x, idx, mask, tapes)
+    for k, a in net.p.items():
+        i = tuple(n - 1 for n in a.shape)
+        a[i] += 1e-3
+        up = loss()
+        a[i] -= 2e-3
+        down = loss()
+        a[i] += 1e-3
+        assert (up - down) / 2e-3 == pytest.approx(float(grad[k][i]), abs=2e-3)
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var x="<p>no</p>";</script></head><body><nav><ul><li><a href=/a>Menu</a><li><a href=/b>Other</a></ul></nav>
+<div class="cookie-notice"><p>We use cookies on this site for you.</p></div><div class="ad">Buy this great thing now please today.</div><article><h1>Title &amp; more</h1><p><b>First
+ paragraph of the text, which is long enough to be one.<br><p>Second   paragraph with &lt;marks&gt; and some more words in it.</article>
+<section id="comments"><h2>Comments</h2><div class="comment"><p>I think that this is a fine article, really.</p></div></section><footer>&copy; site</footer></body></html>"""
+
+
+def test_extraction(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain  text\nonly &amp; so"), (5, "u", "<p>a<p>b</p></div></b>" * 3), (1, "u", PAGE)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = "Title & more\n\nFirst paragraph of the text, which is long enough to be one.\n\nSecond paragraph with <marks> and some more words in it."
+    assert [r["text"] for r in got if r["page_id"] == 1] == [want] * 2
+    assert {r["page_id"]: r["text"] for r in got if r["page_id"] in (2, 3, 4)} == {2: "", 3: "", 4: "plain text only & so"}
+
+
+def test_kept_nodes_have_kept_ancestors():
+    page = parse(PAGE)
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        kept = html_extract.decode(page, rng.normal(size=len(page.nodes)))
+        assert all(kept[n.parent] for i, n in enumerate(page.nodes) if i and kept[i])
+    assert blocks(parse("<p>a<br>b<p>c"), [True] * 3) == ["a b", "c"]
+
+
+def test_unseen_layouts():
+    author, right = html_extract._Author(12345), 0
+    for _ in range(60):
+        html = author.page()
+        page = parse(html)
+        right += html_extract.extract([html], html_extract.trained())[0] == "\n\n".join(blocks(page, [n.marked for n in page.nodes]))
+    assert right >= 45
