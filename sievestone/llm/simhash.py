@@ -36,6 +36,8 @@ from .components import components
 BITS = 64
 #: Fingerprints in a bucket up to which its pairs are joined, and up to which one task compares them.
 BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
+#: The former for near copies, whose wider radius makes many buckets of a large group.
+COPIES_BUCKET_LIMIT = 16
 #: Radius up to which hubs take less work than comparing all members of a bucket.
 HUB_RADIUS = 3
 #: Bits of near copies: of their distinct words' SimHash, and of their shingles'.
@@ -159,18 +161,19 @@ def links(points: DataFrame, radius: int, check_radius: int = BITS, bucket_limit
     large = shared.where(F.col("n") > bucket_limit)
     if large.isEmpty():
         return edges
-    hubs = check_radius >= BITS and radius <= HUB_RADIUS
-    # A bucket over the limit is dealt into halves of the limit, and every two of them meet in a task.
-    halves = F.when(F.col("n") <= group_limit, 1).otherwise(F.ceil(F.col("n") * 2 / group_limit)).cast("int")
-    part = F.pmod(F.xxhash64("id"), F.col("halves")).cast("int")
-    dealt = (large.where(F.col("n") <= group_limit) if hubs else large).withColumn("halves", halves).withColumn("p", part).select("*", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("q"))
+    forest = _forest(radius, check_radius)
+    middling = large.where(F.col("n") <= group_limit)
+    edges = edges.union(middling.groupBy("t", "kept").applyInPandas(forest, "u bigint, v bigint"))
+    heavy = large.where(F.col("n") > group_limit)
+    if heavy.isEmpty():
+        return edges
+    if check_radius >= BITS and radius <= HUB_RADIUS:
+        return edges.union(_through_hubs(heavy.select("fp").distinct(), radius))
+    # Dealt into halves of the limit, every two of which meet in a task.
+    halves = F.ceil(F.col("n") * 2 / group_limit).cast("int")
+    dealt = heavy.withColumn("halves", halves).withColumn("p", F.pmod(F.xxhash64("id"), F.col("halves")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("q"))
     dealt = dealt.select("t", "kept", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "id", "fp", "check")
-    edges = edges.union(dealt.groupBy("t", "kept", "low", "high").applyInPandas(_forest(radius, check_radius), "u bigint, v bigint"))
-    if hubs:
-        heavy = large.where(F.col("n") > group_limit).select("fp").distinct()
-        if not heavy.isEmpty():
-            edges = edges.union(_through_hubs(heavy, radius))
-    return edges
+    return edges.union(dealt.groupBy("t", "kept", "low", "high").applyInPandas(forest, "u bigint, v bigint"))
 
 
 def _named_components(marked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -202,7 +205,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS, ch
     """
     marked = materialize(word_and_shingle_fingerprints(docs, shingle, key, text).withColumn("id", F.xxhash64("fp", "check")), "fingerprints")
     points = marked.select("id", "fp", "check").dropDuplicates(["id"])
-    named = _named_components(marked, links(points, radius, check_radius), key)
+    named = _named_components(marked, links(points, radius, check_radius, COPIES_BUCKET_LIMIT), key)
     return marked.join(named, "id").select(key, "component_id")
 
 
