@@ -40,8 +40,10 @@ BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
 COPIES_BUCKET_LIMIT = 16
 #: Radius up to which hubs take less work than comparing all members of a bucket.
 HUB_RADIUS = 3
-#: Bits of near copies: of their distinct words' SimHash, and of their shingles'.
-WORD_RADIUS, SHINGLE_RADIUS = 6, 13
+#: Bits in which near copies may differ: in a SimHash of their distinct words, of which there are two, and in their shingles'.
+WORD_RADIUS, SHINGLE_RADIUS = 5, 18
+#: Part of all distinct shingles of two near copies that both have.
+SIMILARITY = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,28 +84,36 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     return counted.select(F.col("_key").alias(key), _majority([f"_s{j}" for j in range(32)], "_n").alias("fp"))
 
 
-def word_and_shingle_fingerprints(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, check): the SimHash of the distinct words, and of the shingles, in one pass."""
-    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
+def _word_and_shingle_fingerprints(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """(key, x, a, b, check): the hash of the text, two SimHashes of its distinct words and one of its shingles, in one pass."""
+    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("x"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
     rows = rows.select("*", F.array_distinct("_w").alias("_d"))
     many = F.size("_d")
-    spans = rows.select("_row", "_key", "_w", "_d", F.explode(F.sequence(F.lit(0), many + F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
+    spans = rows.select("_row", "_key", "x", "_w", "_d", F.explode(F.sequence(F.lit(0), many + F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
     of_words = F.col("_i") < many
-    zero = F.lit(0).cast("bigint")
+    word, zero = F.get("_d", F.col("_i")), F.lit(0).cast("bigint")
     hashed = spans.select(
-        "_row", "_key", of_words.alias("_o"),
-        F.when(of_words, F.xxhash64(F.get("_d", F.col("_i")))).otherwise(zero).alias("_a"),
-        F.when(of_words | (many == 0), zero).otherwise(F.xxhash64(_shingle("_w", F.col("_i") - many, shingle))).alias("_b"),
+        "_row", "_key", "x", of_words.alias("_o"),
+        F.when(of_words, F.xxhash64(word)).otherwise(zero).alias("_a"),
+        F.when(of_words, F.xxhash64(word, F.lit(1))).otherwise(zero).alias("_b"),
+        F.when(of_words | (many == 0), zero).otherwise(F.xxhash64(_shingle("_w", F.col("_i") - many, shingle))).alias("_c"),
     )
-    counted = hashed.groupBy("_row", "_key").agg(F.count_if("_o").alias("_m"), F.count_if(~F.col("_o")).alias("_n"), *_bit_sums(F.col("_a"), "s"), *_bit_sums(F.col("_b"), "t"))
-    return counted.select(F.col("_key").alias(key), _majority([f"_s{j}" for j in range(32)], "_m").alias("fp"), _majority([f"_t{j}" for j in range(32)], "_n").alias("check"))
+    sums = [x for name in "abc" for x in _bit_sums(F.col(f"_{name}"), name)]
+    counted = hashed.groupBy("_row", "_key", "x").agg(F.count_if("_o").alias("_m"), F.count_if(~F.col("_o")).alias("_n"), *sums)
+    majorities = [_majority([f"_{name}{j}" for j in range(32)], n).alias(to) for name, n, to in (("a", "_m", "a"), ("b", "_m", "b"), ("c", "_n", "check"))]
+    return counted.select(F.col("_key").alias(key), "x", *majorities)
 
 
 def covering_masks(radius: int) -> list[int]:
     """2**(radius + 1) - 1 masks; two words that differ in at most ``radius`` bits agree under one."""
     vectors = (1 << (radius + 1)) - 1
-    m = [i % vectors + 1 for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if (m[i] & v).bit_count() & 1) for v in range(1, vectors + 1)]
+
+    def masks(step: int) -> list[int]:
+        m = [i * step % vectors + 1 for i in range(BITS)]
+        return [sum(1 << i for i in range(BITS) if (m[i] & v).bit_count() & 1) for v in range(1, vectors + 1)]
+
+    # With more vectors than bits, the first ones alone would leave a table with a bit or none.
+    return masks(1) if vectors <= BITS else max((masks(k) for k in range(1, vectors)), key=lambda x: min(y.bit_count() for y in x))
 
 
 def _flips(most: int) -> list[int]:
@@ -128,19 +138,24 @@ def _through_hubs(points: DataFrame, radius: int) -> DataFrame:
 
 
 def _forest(radius: int, check_radius: int):
-    """For the points of one bucket: links that connect what all its links connect."""
+    """For the points of one bucket: the shortest links, by check, that connect what all its links connect."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         ids, fp, check = (rows[c].to_numpy() for c in ("id", "fp", "check"))
-        root = np.arange(len(ids))
-        edges = []
-        for i in range(1, len(ids)):
-            near = np.flatnonzero((np.bitwise_count((fp[:i] ^ fp[i]).view(np.uint64)) <= radius) & (np.bitwise_count((check[:i] ^ check[i]).view(np.uint64)) <= check_radius))
-            for r in np.unique(root[near]):
-                edges.append((ids[i], ids[near[root[near] == r][0]]))
-                root[:i][root[:i] == r] = i
-            root[i] = i
+        far = BITS + 1
+        length, near = np.full(len(ids), far), np.zeros(len(ids), dtype=np.int64)
+        todo = np.ones(len(ids), dtype=bool)
+        edges, at = [], 0
+        for _ in range(len(ids) - 1):
+            todo[at] = False
+            d = np.bitwise_count((check ^ check[at]).view(np.uint64)).astype(np.int64)
+            d[(d > check_radius) | (np.bitwise_count((fp ^ fp[at]).view(np.uint64)) > radius)] = far
+            closer = todo & (d < length)
+            length[closer], near[closer] = d[closer], at
+            at = int(np.where(todo, length, far + 1).argmin())
+            if length[at] < far:
+                edges.append((ids[at], ids[near[at]]))
         return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["u", "v"])
 
     return run
@@ -195,17 +210,35 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     return marked.join(named, "id").select(key, F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS, check_radius: int = SHINGLE_RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id): groups of near copies, similarity about 0.8 or more on shingles.
-
-    Candidates: SimHashes of the distinct words within ``radius`` bits, found by
-    covering tables. A candidate links if the SimHashes of its shingles differ
-    in at most ``check_radius`` bits. (At a Jaccard similarity of 0.8 these differ
-    in 64 * acos(8/9) / pi, about 10, on the average.)
+def _verified(edges: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int, similarity: float, key: str, text: str) -> DataFrame:
+    """Those edges (u, v) between ids of ``marked`` (key, x, id) whose texts share ``similarity`` of their distinct shingles."""
+    edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    met = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
+    # Every id by one of its rows: its texts have the same three SimHashes.
+    chosen = marked.groupBy("id").agg(F.min(F.struct("x", F.col(key).alias("k"))).alias("r")).join(met, "id").select("id", "r.x", "r.k")
+    texts = pick(docs, key, text).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_x"), F.col(text).alias("_text"))
+    found = texts.join(chosen, (F.col("_x") == F.col("x")) & F.col("_key").eqNullSafe(F.col("k"))).select("id", words(F.col("_text")).alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))
+    sets = found.dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(_shingle("_w", i, shingle)))).alias("s"))
+    sets = materialize(sets, "shingles")
+    both = edges.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    shared = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
+    return shared.where(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS, check_radius: int = SHINGLE_RADIUS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id): groups of near copies, whose distinct shingles have a Jaccard similarity of ``similarity``.
+
+    Candidates: one of two SimHashes of the distinct words, of which covering
+    tables find all pairs within ``radius`` bits, and the SimHashes of the
+    shingles within ``check_radius`` bits. (At a similarity of 0.8 these differ in
+    64 * acos(8/9) / pi, about 10, on the average.) The shingles of candidates are
+    then compared. Texts with all three SimHashes in common count as copies.
     """
-    marked = materialize(word_and_shingle_fingerprints(docs, shingle, key, text).withColumn("id", F.xxhash64("fp", "check")), "fingerprints")
-    points = marked.select("id", "fp", "check").dropDuplicates(["id"])
-    named = _named_components(marked, links(points, radius, check_radius, COPIES_BUCKET_LIMIT), key)
+    marked = materialize(_word_and_shingle_fingerprints(docs, shingle, key, text).withColumn("id", F.xxhash64("a", "b", "check")), "fingerprints")
+    points = marked.select("id", "a", "b", "check").dropDuplicates(["id"])
+    found = [links(points.select("id", F.col(c).alias("fp"), "check"), radius, check_radius, COPIES_BUCKET_LIMIT) for c in "ab"]
+    named = _named_components(marked, _verified(found[0].union(found[1]), marked, docs, shingle, similarity, key, text), key)
     return marked.join(named, "id").select(key, "component_id")
 
 

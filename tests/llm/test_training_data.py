@@ -194,6 +194,34 @@ def test_near_copies(spark):
     assert simhash.near_copies(df.where("doc_id < 0")).count() == 0
 
 
+def test_near_copies_keep_to_the_similarity(spark):
+    """Copies with more and more edits: whatever is grouped is linked by texts of similarity 0.8; empty and repeated rows too."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    texts = [None, "", " "]
+    for edits in range(12):
+        w = [word() for _ in range(200)]
+        texts += [" ".join(w)] * 2
+        for at in rng.sample(range(200), edits):
+            w[at] = word()
+        texts.append(" ".join(w))
+    shingles = []
+    for t in texts:
+        w = (t or "").split()
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[3])]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, id int")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert got.pop(None) == 3
+    assert all(got[i] in (root[i], i) for i in range(len(texts)))
+    assert sum(got[i] != root[i] for i in range(len(texts))) <= 1
+
+
 def test_language(spark, docs, none):
     en, fr = "the cat and the dog went to the house with that thing ", "le chat et le chien sont dans une maison avec des choses "
     rows = [(i, " ".join(random.Random(i).sample((en if i % 2 else fr).split(), 8)), "en" if i % 2 else "fr") for i in range(60)]
