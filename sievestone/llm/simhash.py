@@ -22,12 +22,15 @@ names a component unless it is alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, table
@@ -36,12 +39,16 @@ from .components import components
 BITS = 64
 #: Fingerprints in a bucket up to which its pairs are joined, and up to which one task compares them.
 BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
-#: The former for near copies, whose wider radius makes many buckets of a large group.
-COPIES_BUCKET_LIMIT = 16
+#: Texts that share a shingle up to which near copies are sought in pairs, and up to which one task compares them.
+COPIES_BUCKET_LIMIT, COPIES_BLOCK_LIMIT = 16, 2000
+#: One text in so many is sampled for common shingles; at most so many of these are told apart.
+SAMPLED, COMMON_SHINGLES = 64, 10_000
+#: Texts whose shingles a task holds at once, the factor of their hashes, and what comes of them.
+TEXTS_AT_ONCE, MIX, SETS = 1000, np.uint64(0x9E3779B97F4A7C15), "x bigint, s array<bigint>"
+#: Ids up to which the texts they name are found without a shuffle of all texts.
+BROADCAST_LIMIT = 1_000_000
 #: Radius up to which hubs take less work than comparing all members of a bucket.
 HUB_RADIUS = 3
-#: Bits in which near copies may differ: in a SimHash of their distinct words, of which there are two, and in their shingles'.
-WORD_RADIUS, SHINGLE_RADIUS = 5, 18
 #: Part of all distinct shingles of two near copies that both have.
 SIMILARITY = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,26 +91,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     return counted.select(F.col("_key").alias(key), _majority([f"_s{j}" for j in range(32)], "_n").alias("fp"))
 
 
-def _word_and_shingle_fingerprints(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """(key, x, a, b, check): the hash of the text, two SimHashes of its distinct words and one of its shingles, in one pass."""
-    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("x"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
-    rows = rows.select("*", F.array_distinct("_w").alias("_d"))
-    many = F.size("_d")
-    spans = rows.select("_row", "_key", "x", "_w", "_d", F.explode(F.sequence(F.lit(0), many + F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
-    of_words = F.col("_i") < many
-    word, zero = F.get("_d", F.col("_i")), F.lit(0).cast("bigint")
-    hashed = spans.select(
-        "_row", "_key", "x", of_words.alias("_o"),
-        F.when(of_words, F.xxhash64(word)).otherwise(zero).alias("_a"),
-        F.when(of_words, F.xxhash64(word, F.lit(1))).otherwise(zero).alias("_b"),
-        F.when(of_words | (many == 0), zero).otherwise(F.xxhash64(_shingle("_w", F.col("_i") - many, shingle))).alias("_c"),
-    )
-    sums = [x for name in "abc" for x in _bit_sums(F.col(f"_{name}"), name)]
-    counted = hashed.groupBy("_row", "_key", "x").agg(F.count_if("_o").alias("_m"), F.count_if(~F.col("_o")).alias("_n"), *sums)
-    majorities = [_majority([f"_{name}{j}" for j in range(32)], n).alias(to) for name, n, to in (("a", "_m", "a"), ("b", "_m", "b"), ("c", "_n", "check"))]
-    return counted.select(F.col("_key").alias(key), "x", *majorities)
-
-
 def covering_masks(radius: int) -> list[int]:
     """2**(radius + 1) - 1 masks; two words that differ in at most ``radius`` bits agree under one."""
     vectors = (1 << (radius + 1)) - 1
@@ -210,35 +197,136 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     return marked.join(named, "id").select(key, F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verified(edges: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int, similarity: float, key: str, text: str) -> DataFrame:
-    """Those edges (u, v) between ids of ``marked`` (key, x, id) whose texts share ``similarity`` of their distinct shingles."""
-    edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    met = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    # Every id by one of its rows: its texts have the same three SimHashes.
-    chosen = marked.groupBy("id").agg(F.min(F.struct("x", F.col(key).alias("k"))).alias("r")).join(met, "id").select("id", "r.x", "r.k")
-    texts = pick(docs, key, text).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_x"), F.col(text).alias("_text"))
-    found = texts.join(chosen, (F.col("_x") == F.col("x")) & F.col("_key").eqNullSafe(F.col("k"))).select("id", words(F.col("_text")).alias("_w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))
-    sets = found.dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(_shingle("_w", i, shingle)))).alias("s"))
-    sets = materialize(sets, "shingles")
-    both = edges.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    shared = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
-    return shared.where(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, radius: int = WORD_RADIUS, check_radius: int = SHINGLE_RADIUS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id): groups of near copies, whose distinct shingles have a Jaccard similarity of ``similarity``.
-
-    Candidates: one of two SimHashes of the distinct words, of which covering
-    tables find all pairs within ``radius`` bits, and the SimHashes of the
-    shingles within ``check_radius`` bits. (At a similarity of 0.8 these differ in
-    64 * acos(8/9) / pi, about 10, on the average.) The shingles of candidates are
-    then compared. Texts with all three SimHashes in common count as copies.
+def _sets(texts: pa.Array, size: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each text has, and their 64-bit hashes text by text in order, the ``common`` ones last.
+
+    Words are those of ``words``; the hash of a shingle is a polynomial of its words' hashes and how many they are.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    word, row = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    real = pc.not_equal(word, "")
+    word, row = word.filter(real).dictionary_encode(), row[real.to_numpy(zero_copy_only=False)]
+    hashes = pd.util.hash_array(word.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    each = np.bincount(row, minlength=len(texts))
+    # One word of hash zero after every text's end for each that its first shingle lacks.
+    wide = np.maximum(each, size)
+    first = np.cumsum(wide) - wide
+    w = np.zeros(int(wide.sum()), dtype=np.uint64)
+    w[first[row] + np.arange(len(row)) - (np.cumsum(each) - each)[row]] = hashes[word.indices.to_numpy()]
+    n = wide - size + 1
+    row = np.repeat(np.arange(len(texts)), n)
+    at = first[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    h = np.minimum(each, size).astype(np.uint64)[row]
+    for j in range(size):
+        h = h * MIX + w[at + j]
+    h = h.view(np.int64)
+    order = np.lexsort((h, np.isin(h, common), row))
+    h, row = h[order], row[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+    return np.bincount(row[new], minlength=len(texts)), h[new]
+
+
+def _shingled(size: int, similarity: float = 0, common: np.ndarray | None = None):
+    """(x, text) to (x, s): the set of shingles; or as many of its first members that it shares one with each set of that similarity."""
+    late = np.array([], dtype=np.int64) if common is None else common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(i, TEXTS_AT_ONCE)
+                n, flat = _sets(part.column("text"), size, late)
+                # Two such sets share at least that part of each; the margin is for rounding.
+                most = n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1 if similarity else n
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                ends = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("x"), pa.ListArray.from_arrays(ends, flat[at < np.repeat(most, n)])], names=["x", "s"])
+
+    return run
+
+
+def _similar_forest(similarity: float):
+    """For the sets of one bucket (x, root, s): similar pairs that connect what all of them connect beyond equal roots."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(n=rows["s"].map(len)).sort_values(["n", "x"])
+        ids, n = rows["x"].to_numpy(), rows["n"].to_numpy()
+        part = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        start = np.concatenate([[0], np.cumsum(n)])
+        names, code = np.unique(np.concatenate(rows["s"].to_list()), return_inverse=True)
+        own, edges = np.zeros(len(names), dtype=bool), []
+        for i in range(len(ids) - 1):
+            # Sets that are longer by more can't be similar.
+            end = int(np.searchsorted(n, n[i] / similarity + 1e-6, "right"))
+            if end <= i + 1 or (part[i + 1 : end] == part[i]).all():
+                continue
+            own[code[start[i] : start[i + 1]]] = True
+            shared = np.add.reduceat(own[code[start[i + 1] : start[end]]].astype(np.int64), start[i + 1 : end] - start[i + 1])
+            own[code[start[i] : start[i + 1]]] = False
+            for j in np.flatnonzero(shared >= similarity * (n[i] + n[i + 1 : end] - shared)) + i + 1:
+                if part[j] != part[i]:
+                    edges.append((ids[i], ids[j]))
+                    part[part == part[j]] = part[i]
+        return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["u", "v"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose sets have the similarity."""
+    both = pairs.join(sets.select(F.col("x").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("x").alias("v"), F.col("s").alias("b")), "v")
+    sizes = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
+    return sizes.where(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many texts, by a sample of the texts; they only order the search, so that missing some costs time alone."""
+    sampled = texts.where(F.pmod("x", F.lit(SAMPLED)) == 0).mapInArrow(_shingled(shingle), SETS).select(F.explode("s").alias("h"))
+    rows = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).collect()
+    return np.array([r["h"] for r in rows], dtype=np.int64)
+
+
+def _similar_links(texts: DataFrame, shingle: int, similarity: float, pair_limit: int, block_limit: int) -> DataFrame:
+    """Edges (u, v) between ids of ``texts`` (x, text) with the components of all pairs of that similarity."""
+    prefixes = texts.mapInArrow(_shingled(shingle, similarity, _common(texts, shingle)), SETS).dropDuplicates(["x"])
+    bucket = Window.partitionBy("h")
+    shared = prefixes.select("x", F.explode("s").alias("h")).select("x", "h", F.count("*").over(bucket).alias("n"), F.min("x").over(bucket).alias("hub"))
+    shared = materialize(shared.where("n > 1"), "buckets")
+    met = materialize(shared.select("x").distinct(), "met")
+    few = met.count() <= BROADCAST_LIMIT
+    found = texts.join(F.broadcast(met) if few else met, "x", "left_semi")
+    sets = materialize(found.mapInArrow(_shingled(shingle), SETS).dropDuplicates(["x"]), "shingles")
+    light, heavy = shared.where(F.col("n") <= pair_limit), shared.where(F.col("n") > pair_limit)
+    pairs = light.select("h", F.col("x").alias("u")).join(light.select("h", F.col("x").alias("v")), "h").where("u < v").select("u", "v")
+    # In large buckets all meet the least first.
+    pairs = materialize(pairs.union(heavy.where("x <> hub").select(F.col("hub").alias("u"), F.col("x").alias("v"))).distinct(), "candidates")
+    edges = materialize(_similar(pairs, sets, similarity), "similar")
+    if heavy.isEmpty():
+        return edges
+    rooted = components(edges)
+    heavy = heavy.join(rooted, heavy["x"] == rooted["node"], "left").select("h", "x", "n", F.coalesce("root", "x").alias("root"))
+    heavy = materialize(heavy, "heavy")
+    apart = heavy.groupBy("h").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("h")
+    # Dealt into halves of the limit, every two of which meet in a task.
+    halves = F.ceil(F.col("n") * 2 / block_limit).cast("int")
+    dealt = heavy.join(apart, "h").withColumn("halves", F.when(F.col("n") > block_limit, halves).otherwise(1)).withColumn("p", F.pmod(F.xxhash64("x"), F.col("halves")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("q")).select("h", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "x", "root")
+    return edges.union(dealt.join(sets, "x").groupBy("h", "low", "high").applyInPandas(_similar_forest(similarity), "u bigint, v bigint"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", pair_limit: int = COPIES_BUCKET_LIMIT, block_limit: int = COPIES_BLOCK_LIMIT) -> DataFrame:
+    """(key, component_id): groups of near copies, linked by a Jaccard similarity of ``similarity`` of their distinct shingles.
+
+    All pairs at that similarity count (but for collisions of 64-bit hashes).
+    Candidates share one of the first members of their sets in one order of all
+    shingles (prefix filtering, Chaudhuri et al., "A Primitive Operator for
+    Similarity Joins", 2006): the part of a set that can't do without. Their sets
+    are compared. Of a bucket of more than ``pair_limit`` texts all are compared
+    with one; where that doesn't connect them all, tasks of up to ``block_limit``
+    compare the rest and emit a forest of similar pairs.
     """
-    marked = materialize(_word_and_shingle_fingerprints(docs, shingle, key, text).withColumn("id", F.xxhash64("a", "b", "check")), "fingerprints")
-    points = marked.select("id", "a", "b", "check").dropDuplicates(["id"])
-    found = [links(points.select("id", F.col(c).alias("fp"), "check"), radius, check_radius, COPIES_BUCKET_LIMIT) for c in "ab"]
-    named = _named_components(marked, _verified(found[0].union(found[1]), marked, docs, shingle, similarity, key, text), key)
+    rows = pick(docs, key, text).select(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("id"), F.col(text).alias("text"))
+    marked = materialize(rows.select(key, "id"), "texts")
+    named = _named_components(marked, _similar_links(rows.select(F.col("id").alias("x"), "text"), shingle, similarity, pair_limit, block_limit), key)
     return marked.join(named, "id").select(key, "component_id")
 
 

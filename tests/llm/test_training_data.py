@@ -222,6 +222,41 @@ def test_near_copies_keep_to_the_similarity(spark):
     assert sum(got[i] != root[i] for i in range(len(texts))) <= 1
 
 
+def similar_roots(texts):
+    """The least text of each text's component under a Jaccard similarity of 0.8, and how many pairs are that similar."""
+    sets = []
+    for t in texts:
+        w = [x for x in re.split("[ \t-\r]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root, pairs = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root, pairs
+
+
+@pytest.mark.parametrize("limits", [(16, 2000), (4, 60), (10_000, 2000)])
+def test_large_groups_of_near_copies(spark, limits, monkeypatch):
+    """Hundreds of different variants, each of another one: the bucket's size changes nothing."""
+    monkeypatch.setattr(simhash, "SAMPLED", 8)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    made = [[word() for _ in range(90)]]
+    while len(made) < 400:
+        w = list(rng.choice(made))
+        for at in rng.sample(range(len(w)), rng.randint(1, 3)):
+            w[at] = word()
+        made.append(w)
+    texts = [" ".join(w) for w in made] + [None, " ", "A\tb", "a \x0b B\n", "a", "a a a a a a", "a a a a a", "é\u3000É", "é\u3000é"]
+    root, _ = similar_roots(texts)
+    assert 20 < len(set(root)) < 300
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **dict(zip(("pair_limit", "block_limit"), limits))).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_language(spark, docs, none):
     en, fr = "the cat and the dog went to the house with that thing ", "le chat et le chien sont dans une maison avec des choses "
     rows = [(i, " ".join(random.Random(i).sample((en if i % 2 else fr).split(), 8)), "en" if i % 2 else "fr") for i in range(60)]
