@@ -40,11 +40,11 @@ BITS = 64
 #: Fingerprints in a bucket up to which its pairs are joined, and up to which one task compares them.
 BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
 #: Texts that share a shingle up to which near copies are sought in pairs, and up to which one task compares them.
-COPIES_BUCKET_LIMIT, COPIES_BLOCK_LIMIT = 16, 2000
+COPIES_BUCKET_LIMIT, COPIES_BLOCK_LIMIT = 64, 2000
 #: One text in so many is sampled for common shingles; at most so many of these are told apart.
 SAMPLED, COMMON_SHINGLES = 64, 10_000
 #: Texts whose shingles a task holds at once, the factor of their hashes, and what comes of them.
-TEXTS_AT_ONCE, MIX, SETS = 1000, np.uint64(0x9E3779B97F4A7C15), "x bigint, s array<bigint>"
+TEXTS_AT_ONCE, MIX, SETS = 1000, np.uint64(0x9E3779B97F4A7C15), "x bigint, m int, s array<bigint>"
 #: Ids up to which the texts they name are found without a shuffle of all texts.
 BROADCAST_LIMIT = 1_000_000
 #: Radius up to which hubs take less work than comparing all members of a bucket.
@@ -227,7 +227,7 @@ def _sets(texts: pa.Array, size: int, common: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _shingled(size: int, similarity: float = 0, common: np.ndarray | None = None):
-    """(x, text) to (x, s): the set of shingles; or as many of its first members that it shares one with each set of that similarity."""
+    """(x, text) to (x, m, s): the size of the set of shingles, and the set; or as many of its first members that it shares one with each set of that similarity."""
     late = np.array([], dtype=np.int64) if common is None else common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def _shingled(size: int, similarity: float = 0, common: np.ndarray | None = None
                 most = n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1 if similarity else n
                 at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
                 ends = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("x"), pa.ListArray.from_arrays(ends, flat[at < np.repeat(most, n)])], names=["x", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("x"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, flat[at < np.repeat(most, n)])], names=["x", "m", "s"])
 
     return run
 
@@ -289,16 +289,20 @@ def _similar_links(texts: DataFrame, shingle: int, similarity: float, pair_limit
     """Edges (u, v) between ids of ``texts`` (x, text) with the components of all pairs of that similarity."""
     prefixes = texts.mapInArrow(_shingled(shingle, similarity, _common(texts, shingle)), SETS).dropDuplicates(["x"])
     bucket = Window.partitionBy("h")
-    shared = prefixes.select("x", F.explode("s").alias("h")).select("x", "h", F.count("*").over(bucket).alias("n"), F.min("x").over(bucket).alias("hub"))
+    shared = prefixes.select("x", "m", F.explode("s").alias("h")).select("x", "m", "h", F.count("*").over(bucket).alias("n"), F.min(F.struct("x", "m")).over(bucket).alias("hub"))
     shared = materialize(shared.where("n > 1"), "buckets")
-    met = materialize(shared.select("x").distinct(), "met")
+    light, heavy = shared.where(F.col("n") <= pair_limit), shared.where(F.col("n") > pair_limit)
+    u, v = (light.select("h", F.col("x").alias(x), F.col("m").alias(m)) for x, m in (("u", "a"), ("v", "b")))
+    # In large buckets all meet the least first; what that leaves out, the tasks below compare.
+    pairs = u.join(v, "h").where("u < v").select("u", "a", "v", "b").union(heavy.where("x <> hub.x").select("hub.x", "hub.m", "x", "m"))
+    # Members behind the prefix that ends first are the only ones that two sets can share besides those found.
+    most = F.col("k") + F.ceil(F.greatest("a", "b") * similarity - 1e-9) - 1
+    counted = pairs.where(F.least("a", "b") >= F.greatest("a", "b") * similarity - 1e-6).groupBy("u", "a", "v", "b").agg(F.count("*").alias("k"))
+    pairs = materialize(counted.where(most >= (F.col("a") + F.col("b")) * (similarity / (1 + similarity)) - 1e-6).select("u", "v"), "candidates")
+    met = materialize(pairs.select(F.col("u").alias("x")).union(pairs.select("v")).union(heavy.select("x")).distinct(), "met")
     few = met.count() <= BROADCAST_LIMIT
     found = texts.join(F.broadcast(met) if few else met, "x", "left_semi")
-    sets = materialize(found.mapInArrow(_shingled(shingle), SETS).dropDuplicates(["x"]), "shingles")
-    light, heavy = shared.where(F.col("n") <= pair_limit), shared.where(F.col("n") > pair_limit)
-    pairs = light.select("h", F.col("x").alias("u")).join(light.select("h", F.col("x").alias("v")), "h").where("u < v").select("u", "v")
-    # In large buckets all meet the least first.
-    pairs = materialize(pairs.union(heavy.where("x <> hub").select(F.col("hub").alias("u"), F.col("x").alias("v"))).distinct(), "candidates")
+    sets = materialize(found.mapInArrow(_shingled(shingle), SETS).dropDuplicates(["x"]).select("x", "s"), "shingles")
     edges = materialize(_similar(pairs, sets, similarity), "similar")
     if heavy.isEmpty():
         return edges

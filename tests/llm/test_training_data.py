@@ -257,6 +257,26 @@ def test_large_groups_of_near_copies(spark, limits, monkeypatch):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_near_copies_with_added_and_cut_text(spark):
+    """Every kind of edit that leaves a similarity of 0.8 is found."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    made = lambda n: [word() for _ in range(n)]
+    texts = []
+    for n in (60, 61, 99, 200, 400):
+        for w in (made(n), made(n)):
+            few, half = n // 10, n // 2
+            copies = [w + made(few), w + made(2 * few), made(2 * few) + w, w[:half] + made(few) + w[half:], w[few:], w[:-few], w[:half] + w[half + few :], [word() if i % 40 == 20 else x for i, x in enumerate(w)]]
+            for c in copies:
+                # each pair with words of its own, so that copies of one text don't stand in for each other
+                own = {x: word() for x in {*w, *c}}
+                texts += [" ".join(own[x] for x in w), " ".join(own[x] for x in c)]
+    root, pairs = similar_roots(texts)
+    assert pairs > 60
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_language(spark, docs, none):
     en, fr = "the cat and the dog went to the house with that thing ", "le chat et le chien sont dans une maison avec des choses "
     rows = [(i, " ".join(random.Random(i).sample((en if i % 2 else fr).split(), 8)), "en" if i % 2 else "fr") for i in range(60)]
