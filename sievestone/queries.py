@@ -570,23 +570,23 @@ def corpus_bleu(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return O.bootstrap_ci(rouge1(spark, d).withColumn("run", F.lit("r")), ["run"], "k", ["f1", "recall"], 200)
+    return O.bootstrap_ci(rouge1(spark, d).withColumn("run", F.lit("r")), ["run"], "k", ["f1", "recall"])
 
 
 @query()
 def poisson_intervals(spark, d):
-    return O.poisson_ci(rouge1(spark, d).withColumn("run", F.lit("r")), ["run"], "k", "f1", 100)
+    return O.poisson_ci(rouge1(spark, d).withColumn("run", F.lit("r")), ["run"], "k", "f1")
 
 
 @query()
 def paired_bootstrap(spark, d):
-    return O.paired_bootstrap(rouge1(spark, d), rouge2(spark, d), "k", "f1", 200)
+    return O.paired_bootstrap(rouge1(spark, d), rouge2(spark, d), "k", "f1")
 
 
 @query()
 def generation_metrics(spark, d):
     pairs = _pairs(spark, d)
-    return jobs.evaluate_generations(pairs.select(F.col("k").alias("row_key"), "ref"), pairs.select(F.col("k").alias("row_key"), F.col("hyp").alias("generated")), "run", "ref", resamples=100)[1]
+    return jobs.evaluate_generations(pairs.select(F.col("k").alias("row_key"), "ref"), pairs.select(F.col("k").alias("row_key"), F.col("hyp").alias("generated")), "run", "ref")[1]
 
 
 # ---- deduplication, order, sets, splits ----
