@@ -15,6 +15,7 @@ alike; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -69,6 +70,7 @@ def node_features(page: Page) -> np.ndarray:
     above = [(0, 0)] * len(nodes)  # attribute parts and tags of the ancestors
     before = 0
     own_groups = [_groups(n.attributes) if n.attributes else 0 for n in nodes]
+    alike = Counter((n.parent, n.tag) for n in nodes[1:])
     paragraphs = [0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         paragraphs[i] += nodes[i].tag == "p"
@@ -96,7 +98,7 @@ def node_features(page: Page) -> np.ndarray:
                 float(n.depth),
                 before / whole,
                 len(siblings),
-                sum([nodes[s].tag == n.tag for s in siblings[:50]]) / min(50, len(siblings)),
+                (alike[n.parent, n.tag] if i else 1) / len(siblings),
                 parent.own,
                 parent.link_chars / max(1, parent.chars),
                 paragraphs[i],

@@ -419,6 +419,13 @@ def test_extraction(spark):
     assert {r["page_id"]: r["text"] for r in got if r["page_id"] in (2, 3, 4)} == {2: "", 3: "", 4: "plain text only & so"}
 
 
+def test_all_siblings_count():
+    page = parse("<body>" + "<div>a</div>" * 60 + "<p>b</p>" * 40 + "</body>")
+    x = html_extract.node_features(page)
+    shares = {n.tag: x[i, -6] for i, n in enumerate(page.nodes) if n.tag in ("div", "p")}
+    assert shares == {"div": 0.6, "p": 0.4}
+
+
 def test_kept_nodes_have_kept_ancestors():
     page = parse(PAGE)
     rng = np.random.default_rng(1)
