@@ -7,6 +7,7 @@ Only work on trees runs in Python; whatever can be said on strings and arrays
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -24,24 +25,31 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset fig
 
 
 class Element:
-    __slots__ = ("attributes", "children", "parent", "tag")
+    __slots__ = ("attributes", "children", "parent", "removed", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
+        self.removed = False
+
+    def _nodes(self) -> Iterator[Element | str]:
+        """All below in page order, however deep."""
+        todo = [iter(self.children)]
+        while todo:
+            c = next(todo[-1], None)
+            if c is None:
+                todo.pop()
+            elif isinstance(c, str):
+                yield c
+            elif not c.removed:
+                yield c
+                todo.append(iter(c.children))
 
     def walk(self) -> Iterator[Element]:
-        for c in self.children:
-            if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+        return (c for c in self._nodes() if not isinstance(c, str))
 
     def strings(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            else:
-                yield from c.strings()
+        return (c for c in self._nodes() if isinstance(c, str))
 
     def text(self) -> str:
         return "".join(self.strings())
@@ -50,34 +58,36 @@ class Element:
         return next((e for e in self.walk() if e.tag == tag and (not classes or re.search(classes, e.attributes.get("class", "")))), None)
 
     def remove(self) -> None:
-        if self.parent:
-            self.parent.children.remove(self)
+        self.removed = True
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {}, None)
+        self.open = Counter()
 
-    def _open(self, tag: str) -> Element | None:
-        e = self.at
-        while e.parent and e.tag != tag:
-            e = e.parent
-        return e if e.parent else None
+    def _close(self, tag: str) -> None:
+        """End the innermost open element of that tag, and what is open in it."""
+        while self.open[tag]:
+            self.open[self.at.tag] -= 1
+            found, self.at = self.at.tag == tag, self.at.parent
+            if found:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ENDS_PARAGRAPH and (p := self._open("p")):
-            self.at = p.parent
+        if tag in ENDS_PARAGRAPH:
+            self._close("p")
         if tag == "li" and self.at.tag == "li":
-            self.at = self.at.parent
+            self._close("li")
         e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(e)
         if tag not in VOID:
             self.at = e
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if e := self._open(tag):
-            self.at = e.parent
+        self._close(tag)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -165,7 +175,6 @@ def permalink(c: Column | str, base: str) -> Column:
 
     def of(html: str | None) -> str | None:
         anchors = [e for e in tree(html).walk() if e.tag == "a" and e.attributes.get("href")]
-    
         titled = [a for a in anchors if any(re.fullmatch("h[1-6]", p.tag) and re.search("entry-title|post-title|article-title", p.attributes.get("class", ""), re.I) for p in _parents(a))]
         marked = [a for a in anchors if "bookmark" in a.attributes.get("rel", "").split()]
         classed = [a for a in anchors if re.search("entry-title-link|post-title-link", a.attributes.get("class", ""), re.I)]

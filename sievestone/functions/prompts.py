@@ -11,6 +11,15 @@ from .text import col, truncate
 PROVIDERS = ["groq", "openrouter", "nvidia", "sambanova"]
 # Options by provider and by what a model's name holds.
 OPTIONS = {("groq", "qwen3"): '{"reasoning_effort":"none"}', ("groq", "gpt-oss"): '{"reasoning_effort":"low"}', ("openrouter", "gpt-oss"): '{"reasoning":{"effort":"low"}}', ("openrouter", "qwen3"): '{"reasoning":{"enabled":false}}'}
+# The models by key, with their architecture and the form of their prompts.
+MODELS = [
+    ("airavata", "ai4bharat/Airavata", "causal", "airavata"),
+    ("sarvam1", "sarvamai/sarvam-1", "causal", "plain"),
+    ("openhathi", "sarvamai/OpenHathi-7B-Hi-v0.1-Base", "causal", "plain"),
+    ("llama31", "meta-llama/Llama-3.1-8B-Instruct", "causal", "chat_sys"),
+    ("gemma2", "google/gemma-2-9b-it", "causal", "chat_nosys"),
+    ("indicbart_pre", "ai4bharat/IndicBART", "seq2seq", "none"),
+]
 # The models' protocol.
 PROTOCOL = {"shots": 0, "num_beams": 4, "length_penalty": 1.0, "no_repeat_ngram_size": 3, "max_input_tokens": 1024, "seed": 42}
 
@@ -70,3 +79,9 @@ def provider_options(provider: Column, model: Column) -> Column:
         holds = (provider == p) & F.contains(F.lower(model), F.lit(part))
         found = F.when(holds, options) if found is None else found.when(holds, options)
     return found.otherwise(F.lit("{}"))
+
+
+def registered(key: Column | str) -> Column:
+    """struct(model, architecture, format) of a model's key; null for an unknown one."""
+    found = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.struct(*[F.lit(x).alias(n) for x, n in zip(own, ("model", "architecture", "format"), strict=True)])) for k, *own in MODELS]))
+    return F.try_element_at(found, col(key))

@@ -91,3 +91,10 @@ def accept_annotation(summary: Column, emotion: Column) -> Column:
 
 def accept_classification(emotion: Column, sentiment: Column) -> Column:
     return emotion["scores"].isNotNull() & sentiment.isNotNull()
+
+
+def is_complete(summary: Column, emotion: Column, sentiment: Column) -> Column:
+    """A row fit for export: a summary that isn't blank, an emotion that isn't the neutral fallback, a known sentiment."""
+    fallback = (emotion["dominant_emotion"] == "neutral") & (F.element_at(emotion["scores"], -1) == 1.0)
+    own = (strip_ws(F.coalesce(summary, F.lit(""))) != "") & ~F.coalesce(fallback, F.lit(True))
+    return own & ~is_sentiment_missing(sentiment)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,10 +21,20 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip_ws(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+$", "")
 
 
+def is_long(c: Column | str, n: int) -> Column:
+    """Whether at least n characters (2 or more) are left without the white space at both ends."""
+    return col(c).rlike(f"[^{WS}](?s:.{{{n - 2},}})[^{WS}]")
+
+
 def collapse_ws(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"[{WS}]+", " ")
 
@@ -42,9 +52,21 @@ def unique_word_count(c: Column | str) -> Column:
     return F.size(F.array_distinct(tokens(c)))
 
 
+def has_unique_words(c: Column | str, n: int) -> Column:
+    """Whether a text has n distinct words; in most its first 4 * n words tell, and only the others are read on."""
+    first = F.regexp_extract(col(c), f"^(?:[{WS}]*[^{WS}]+(?![^{WS}])){{0,{4 * n}}}", 0)
+    return F.when(unique_word_count(first) >= n, True).otherwise(unique_word_count(c) >= n)
+
+
+def wide_key(*keys: Column) -> list[Column]:
+    """128 bits of the keys, as two numbers; null is a value of its own."""
+    told = [x for k in keys for x in (k.isNull(), k)]
+    return [F.xxhash64(*told), F.xxhash64(F.lit("wide"), *told)]
+
+
 def count_chars(c: Column | str, chars: str) -> Column:
     """How many characters are in the class [chars]."""
-    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{chars}]", ""))
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{chars}]+", ""))
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -72,15 +94,19 @@ def marker_count(c: Column | str, markers: Sequence[str]) -> Column:
 
 
 def foreign_share(c: Column | str, markers: LanguageMarkers) -> Column:
-    own, foreign = marker_count(c, markers.primary), marker_count(c, markers.foreign)
-    return F.when(own + foreign > 0, foreign / (own + foreign))
+    counts = F.struct(marker_count(c, markers.primary).alias("own"), marker_count(c, markers.foreign).alias("foreign"))
+    return bound(counts, lambda n: F.when(n["own"] + n["foreign"] > 0, n["foreign"] / (n["own"] + n["foreign"])))
 
 
-def detect_language(c: Column | str, markers: LanguageMarkers) -> Column:
-    share, (primary, foreign, mixed) = foreign_share(c, markers), markers.names
+def language_of(share: Column, markers: LanguageMarkers) -> Column:
+    primary, foreign, mixed = markers.names
     return F.when(share >= markers.foreign_from, foreign).when(share >= markers.mixed_from, mixed).otherwise(F.lit(primary))
 
 
+def detect_language(c: Column | str, markers: LanguageMarkers) -> Column:
+    return bound(foreign_share(c, markers), lambda share: language_of(share, markers))
+
+
 def foreign_percent(c: Column | str, markers: LanguageMarkers) -> Column:
     return F.coalesce(F.round(foreign_share(c, markers) * 100, 1), F.lit(0.0))
 
@@ -111,16 +137,15 @@ def strip_preamble(c: Column | str, script: ScriptProfile = DEVANAGARI, least: i
     full = drop(text, f"^{space}{_OPENER}{space}{_SEPARATOR}{space}", f"^[^\\n]*?{_SOURCE}{space}{_SEPARATOR}*{space}", day, *topic)
     by_day, series = drop(text, day, *topic), drop(text, *topic)
     stripped = F.when(text.rlike(f"^{space}{_OPENER}"), full).when(F.substring(text, 1, 200).rlike(_WEEKDAY), by_day).when(text.rlike(f"^{space}{_SERIES}"), series)
-    kept = strip_ws(stripped)
-    return F.when(count_chars(kept, script.chars) >= least, kept).otherwise(text)
+    return bound(strip_ws(stripped), lambda kept: F.when(count_chars(kept, script.chars) >= least, kept).otherwise(text))
 
 
 def repair_preamble(c: Column | str, words: Sequence[str] = PREAMBLE_WORDS) -> Column:
     """struct(text, state): a text with a header is stripped; if one is left even so, the text stays and is unfixable."""
-    text, fixed = col(c), strip_preamble(c)
-    fits = has_preamble(text, words)
-    state = F.when(~fits, "clean").when(has_preamble(fixed, words), "unfixable").otherwise(F.lit("repaired"))
-    return F.struct(F.when(state == "repaired", fixed).otherwise(text).alias("text"), state.alias("state"))
+    text = col(c)
+    told = lambda x, state: F.struct(x.alias("text"), F.lit(state).alias("state"))
+    repaired = bound(strip_preamble(c), lambda fixed: F.when(has_preamble(fixed, words), told(text, "unfixable")).otherwise(told(fixed, "repaired")))
+    return F.when(has_preamble(text, words), repaired).otherwise(told(text, "clean"))
 
 
 INVISIBLE = r"\x{200b}-\x{200f}\x{202a}-\x{202e}\x{feff}\x{00a0}"
@@ -217,7 +242,7 @@ def quality_flags(c: Column | str, script: ScriptProfile = DEVANAGARI_BASE) -> C
         ("POSSIBLE_TRUNCATION", t.rlike(TRUNCATION)),
         ("BELOW_MIN_LENGTH", F.length(t) < 300),
         ("SHORT_ARTICLE", F.length(t) < 500),
-        ("LOW_UNIQUE_WORDS", unique_word_count(t) < 20),
+        ("LOW_UNIQUE_WORDS", ~has_unique_words(t, 20)),
     ]
     return F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in flags]))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 def confusion(df: DataFrame, slices: Sequence[str], gold: str, pred: str) -> DataFrame:
     """(slices..., gold, pred, n); rows without a prediction are left out (``missing`` counts them)."""
@@ -74,10 +76,9 @@ def js_divergence(p: Column, q: Column, least: float = 1e-12) -> Column:
 
     def scaled(v: Column) -> Column:
         clipped = F.transform(v, lambda x: F.greatest(x.cast("double"), F.lit(least)))
-        return F.transform(clipped, lambda x: x / total(clipped))
+        return bound(F.struct(clipped.alias("v"), total(clipped).alias("t")), lambda s: F.transform(s["v"], lambda x: x / s["t"]))
 
-    a, b = scaled(p), scaled(q)
-    part = F.zip_with(a, b, lambda x, y: x * F.log2(2 * x / (x + y)) + y * F.log2(2 * y / (x + y)))
+    part = F.zip_with(scaled(p), scaled(q), lambda x, y: x * F.log2(2 * x / (x + y)) + y * F.log2(2 * y / (x + y)))
     return F.when(total(F.transform(p, lambda x: x.cast("double"))) > 0, 0.5 * total(part))
 
 

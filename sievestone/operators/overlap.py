@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,15 @@ from ..functions import text as X
 
 def ngrams(toks: Column, n: int) -> Column:
     """array<string> of the sliding n-grams; their tokens are joined by U+0001, which no token of white space holds."""
-    last = F.size(toks) - n
-    grams = lambda: F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(n)), "\x01"))
-    return F.when(last >= 0, grams()).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return toks
+
+    def of(t: Column) -> Column:
+        last = F.size(t) - n
+        grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), "\x01"))
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return X.bound(toks, of)
 
 
 def ascii_tokens(c: Column | str) -> Column:
@@ -31,20 +38,30 @@ def _prf(match: Column, hyp: Column, ref: Column) -> list[Column]:
     return [p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)]
 
 
-def rouge_n(df: DataFrame, keys: list[str], ref: str, hyp: str, n: int, tokenizer=X.tokens) -> DataFrame:
-    """(keys..., precision, recall, f1) of clipped n-gram overlap; a side without n-grams gives 0.
+def rouge_orders(df: DataFrame, keys: list[str], ref: str, hyp: str, orders: Sequence[int], tokenizer=X.tokens) -> DataFrame:
+    """(keys..., n, precision, recall, f1) of clipped n-gram overlap for every order n; a side without n-grams gives 0.
 
-    Both sides become one stream of counted n-grams: one shuffle by key and
-    n-gram, and one of a row per key.
+    Both sides and all orders become one stream of counted n-grams: one shuffle
+    by key, order and n-gram, and one of a row per key and order.
     """
-    both = df.select(*keys, F.explode(F.array(F.struct(ngrams(tokenizer(F.coalesce(F.col(ref), F.lit(""))), n).alias("g"), F.lit(True).alias("is_ref")), F.struct(ngrams(tokenizer(F.coalesce(F.col(hyp), F.lit(""))), n).alias("g"), F.lit(False).alias("is_ref")))).alias("side"))
+
+    def side(c: str, is_ref: bool) -> Column:
+        grams = lambda t: F.array(*[F.struct(F.lit(n).alias("n"), ngrams(t, n).alias("g"), F.lit(is_ref).alias("is_ref")) for n in orders])
+        return X.bound(tokenizer(F.coalesce(F.col(c), F.lit(""))), grams)
+
+    both = df.select(*keys, F.explode(F.concat(side(ref, True), side(hyp, False))).alias("side"))
     # explode_outer keeps a key of which neither side has an n-gram
-    each = both.select(*keys, F.col("side.is_ref").alias("is_ref"), F.explode_outer("side.g").alias("gram"))
+    each = both.select(*keys, "side.n", "side.is_ref", F.explode_outer("side.g").alias("gram"))
     has = F.col("gram").isNotNull()
-    counted = each.groupBy(*keys, "gram").agg(F.count_if(has & F.col("is_ref")).alias("r"), F.count_if(has & ~F.col("is_ref")).alias("h"))
-    summed = counted.groupBy(*keys).agg(F.sum(F.least("r", "h")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    counted = each.groupBy(*keys, "n", "gram").agg(F.count_if(has & F.col("is_ref")).alias("r"), F.count_if(has & ~F.col("is_ref")).alias("h"))
+    summed = counted.groupBy(*keys, "n").agg(F.sum(F.least("r", "h")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
     p, r, f = _prf(F.col("m"), F.col("h"), F.col("r"))
-    return summed.select(*keys, p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    return summed.select(*keys, "n", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+
+def rouge_n(df: DataFrame, keys: list[str], ref: str, hyp: str, n: int, tokenizer=X.tokens) -> DataFrame:
+    """(keys..., precision, recall, f1) of clipped n-gram overlap."""
+    return rouge_orders(df, keys, ref, hyp, [n], tokenizer).drop("n")
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -140,14 +157,24 @@ def brevity(s: Column) -> Column:
     return F.when(s["hyp_len"] >= s["ref_len"], 1.0).when(s["hyp_len"] > 0, F.exp(1 - s["ref_len"] / s["hyp_len"])).otherwise(0.0)
 
 
-def corpus_bleu(df: DataFrame, slices: list[str], stats: str) -> DataFrame:
-    """(slices..., bleu, brevity_penalty, bleu1 ... bleu4): counts are summed over the corpus first."""
+def corpus_sums(stats: str) -> list[Column]:
+    """The sums that ``corpus_scores`` needs, as aggregates."""
     of = lambda f, i: F.sum(F.get(F.col(f"{stats}.{f}"), F.lit(i))).alias(f"_{f}{i}")
-    summed = df.groupBy(*slices).agg(*[of("matches", i) for i in range(4)], *[of("totals", i) for i in range(4)], F.sum(f"{stats}.hyp_len").alias("hyp_len"), F.sum(f"{stats}.ref_len").alias("ref_len"))
-    s = F.struct(F.array(*[f"_matches{i}" for i in range(4)]).alias("matches"), F.array(*[f"_totals{i}" for i in range(4)]).alias("totals"), F.col("hyp_len"), F.col("ref_len"))
-    held = summed.withColumn("_s", s)
+    lengths = [F.sum(f"{stats}.{side}_len").alias(f"_{side}_len") for side in ("hyp", "ref")]
+    return [*[of(f, i) for f in ("matches", "totals") for i in range(4)], *lengths]
+
+
+def corpus_scores() -> list[Column]:
+    """bleu, brevity_penalty and bleu1 ... bleu4 from the sums."""
+    four = lambda f: F.array(*[f"_{f}{i}" for i in range(4)]).alias(f)
+    s = F.struct(four("matches"), four("totals"), F.col("_hyp_len").alias("hyp_len"), F.col("_ref_len").alias("ref_len"))
     orders = [F.when(F.col(f"_totals{i}") > 0, 100.0 * F.col(f"_matches{i}") / F.col(f"_totals{i}")).otherwise(0.0).alias(f"bleu{i + 1}") for i in range(4)]
-    return held.select(*slices, bleu_score(F.col("_s"), effective=False).alias("bleu"), brevity(F.col("_s")).alias("brevity_penalty"), *orders)
+    return [bleu_score(s, effective=False).alias("bleu"), brevity(s).alias("brevity_penalty"), *orders]
+
+
+def corpus_bleu(df: DataFrame, slices: list[str], stats: str) -> DataFrame:
+    """(slices..., bleu, brevity_penalty, bleu1 ... bleu4): counts are summed over the corpus first."""
+    return df.groupBy(*slices).agg(*corpus_sums(stats)).select(*slices, *corpus_scores())
 
 
 def bootstrap_ci(df: DataFrame, slices: list[str], key: str, metrics: list[str], resamples: int = 1000, seed: int = 42) -> DataFrame:
@@ -168,14 +195,35 @@ def bootstrap_ci(df: DataFrame, slices: list[str], key: str, metrics: list[str],
 
 
 def poisson_ci(df: DataFrame, slices: list[str], key: str, metric: str, resamples: int = 1000) -> DataFrame:
-    """As ``bootstrap_ci``, by Poisson weights from a hash of key and resample: sums only, for any number of rows."""
-    u = (F.pmod(F.xxhash64(key, "_b"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    """As ``bootstrap_ci``, by Poisson weights from a hash of key and resample: sums only, for any number of rows.
+
+    Rows are dealt into blocks that sum up all resamples at once, so that no row is multiplied.
+    """
+    kinds = dict(df.dtypes)
     steps = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(8)])
-    weight = F.lit(len(steps))
-    for k in reversed(range(len(steps))):
-        weight = F.when(u < float(steps[k]), k).otherwise(weight)
-    each = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", weight)
-    means = each.groupBy(*slices, "_b").agg((F.sum(F.col("_w") * F.col(metric)) / F.sum("_w")).alias("m"))
+    mixed = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+    numbers = np.arange(1, resamples + 1, dtype=np.uint64) * mixed[0]
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            by = pdf.groupby(slices, dropna=False, sort=False) if slices else [((), pdf)]
+            for name, rows in by:
+                total, weight = np.zeros(resamples), np.zeros(resamples)
+                for i in range(0, len(rows), 1000):
+                    h = rows["_h"].to_numpy()[i : i + 1000].view(np.uint64)[:, None] + numbers
+                    for shift, m in ((30, mixed[1]), (27, mixed[2])):
+                        h = (h ^ (h >> np.uint64(shift))) * m
+                    w = np.searchsorted(steps, (h >> np.uint64(11)) / float(1 << 53), "right")
+                    total += rows["_v"].to_numpy()[i : i + 1000] @ w
+                    weight += w.sum(0)
+                yield pd.DataFrame([[*(name if isinstance(name, tuple) else (name,)), total, weight]], columns=[*slices, "total", "weight"])
+
+    rows = df.where(F.col(metric).isNotNull()).select(*slices, F.xxhash64(key).alias("_h"), F.col(metric).cast("double").alias("_v"))
+    parts = rows.mapInPandas(sums, ", ".join([*(f"`{s}` {kinds[s]}" for s in slices), "total array<double>, weight array<double>"]))
+    each = parts.select(*slices, F.posexplode(F.arrays_zip("total", "weight")).alias("_b", "s"))
+    means = each.groupBy(*slices, "_b").agg((F.sum("s.total") / F.sum("s.weight")).alias("m"))
     return means.groupBy(*slices).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
@@ -190,10 +238,49 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str, metric: str, resample
     return ci.withColumn("indistinguishable", (F.col("lo") <= 0) & (F.col("hi") >= 0))
 
 
-def score_pairs(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
-    """Per-item scores: key, ref, hyp, rouge1, rouge2, rougeL, bleu, len. Empty outputs score 0 and are never dropped."""
-    rows = df.select(F.col(key), X.strip_ws(F.coalesce(ref, F.lit(""))).alias("ref"), X.strip_ws(F.coalesce(hyp, F.lit(""))).alias("hyp"))
-    one, two = (rouge_n(rows, [key], "ref", "hyp", n).select(key, F.col("f1").alias(f"rouge{n}")) for n in (1, 2))
-    counted = rows.select("*", bleu_stats(intl_tokens("ref"), intl_tokens("hyp")).alias("stats"), rouge_l(X.tokens("ref"), X.tokens("hyp"))["f1"].alias("rougeL"))
-    rest = counted.select(key, "ref", "hyp", "rougeL", F.when(F.col("hyp") == "", 0.0).otherwise(bleu_score(F.col("stats")) / 100).alias("bleu"), X.word_count("hyp").alias("len"), "stats")
-    return rest.join(one, key).join(two, key)
+class PairScorer(Protocol):
+    """Takes references and outputs, neither empty, and gives a score from 0 to 1 for each. Made once in each task."""
+
+    def __call__(self, refs: list[str], hyps: list[str]) -> list[float]: ...
+
+
+def stub_scorer() -> PairScorer:
+    """A deterministic stand-in for a model that compares meanings: the share of equal characters from the left."""
+    return lambda refs, hyps: [sum(map(str.__eq__, r, h)) / max(len(r), len(h)) for r, h in zip(refs, hyps, strict=True)]
+
+
+def model_score(ref: Column, hyp: Column, make: Callable[[], PairScorer]) -> Column:
+    """The scorer's value where neither side is empty, 0 for the rest, which never reach it."""
+
+    @F.pandas_udf("double")
+    def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = make()
+        for r, h in pairs:
+            full = (r != "") & (h != "")
+            out = np.zeros(len(r))
+            if full.any():
+                out[full.to_numpy()] = own(r[full].tolist(), h[full].tolist())
+            yield pd.Series(out)
+
+    return score(ref, hyp)
+
+
+def score_pairs(df: DataFrame, keys: str | Sequence[str], ref: str, hyp: str, tokenizer=X.tokens, placeholder: str = "", scorer: Callable[[], PairScorer] | None = None) -> DataFrame:
+    """Per-item scores: keys, ref, hyp, rouge1, rouge2, rougeL, bleu, len, stats, and bertscore_f1 with a ``scorer``.
+
+    Empty outputs score 0 and are never dropped; with a ``placeholder`` ROUGE
+    sees that in their place. ``tokenizer`` is ROUGE's.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = df.select(*keys, X.strip_ws(F.coalesce(ref, F.lit(""))).alias("ref"), X.strip_ws(F.coalesce(hyp, F.lit(""))).alias("hyp"))
+    rows = rows.withColumn("_seen", F.when(F.col("hyp") == "", placeholder).otherwise(F.col("hyp")))
+    orders = rouge_orders(rows, keys, "ref", "_seen", (1, 2), tokenizer).groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, F.col("f1"))).alias(f"rouge{n}") for n in (1, 2)])
+    model = [model_score(F.col("ref"), F.col("hyp"), scorer).alias("bertscore_f1")] if scorer else []
+    counted = rows.select("*", bleu_stats(intl_tokens("ref"), intl_tokens("hyp")).alias("stats"), rouge_l(tokenizer("ref"), tokenizer("_seen"))["f1"].alias("rougeL"), *model)
+    rest = counted.select(*keys, "ref", "hyp", "rougeL", F.when(F.col("hyp") == "", 0.0).otherwise(bleu_score(F.col("stats")) / 100).alias("bleu"), X.word_count("hyp").alias("len"), "stats", *["bertscore_f1"] * bool(scorer))
+    return rest.join(orders, keys)
+
+
+def instance_table(items: DataFrame, keys: Sequence[str], digits: int = 4) -> DataFrame:
+    """(keys..., rouge1, rouge2, rougeL), rounded: the table of single items."""
+    return items.select(*keys, *[F.round(c, digits).alias(c) for c in ("rouge1", "rouge2", "rougeL")])

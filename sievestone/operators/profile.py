@@ -101,11 +101,16 @@ def usable(df: DataFrame, text: str) -> DataFrame:
     return df.agg(n.alias("n"), null.alias("n_null"), blank.alias("n_blank"), F.when(n > 0, (n - null - blank) * 100.0 / n).otherwise(0.0).alias("usable_pct"))
 
 
-def length_summary(df: DataFrame, words: Column, ddof: int = 0) -> DataFrame:
-    """One row: mean, median and standard deviation of word counts, and the shares in 80 to 100 and over 10 words."""
+def length_stats(words: Column, ddof: int = 0) -> list[Column]:
+    """Mean, median and standard deviation of word counts, and the shares in 80 to 100 and over 10 words, as aggregates."""
     v = words.cast("double")
     spread = F.stddev_pop(v) if ddof == 0 else F.stddev_samp(v)
-    return df.agg(F.avg(v).alias("len_mean"), F.median(v).alias("len_median"), spread.alias("len_std"), F.avg((v >= 80).cast("int") * (v <= 100).cast("int")).alias("pct_80_100w"), F.avg((v > 10).cast("int")).alias("pct_over_10w"))
+    return [F.avg(v).alias("len_mean"), F.median(v).alias("len_median"), spread.alias("len_std"), F.avg((v >= 80).cast("int") * (v <= 100).cast("int")).alias("pct_80_100w"), F.avg((v > 10).cast("int")).alias("pct_over_10w")]
+
+
+def length_summary(df: DataFrame, words: Column, ddof: int = 0) -> DataFrame:
+    """One row of ``length_stats``."""
+    return df.agg(*length_stats(words, ddof))
 
 
 def rate(holds: Column) -> Column:

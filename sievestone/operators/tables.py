@@ -47,16 +47,47 @@ def unique_keys(df: DataFrame, key: str, order: str) -> DataFrame:
     return positions(df, order, "_at").withColumn(key, F.concat_ws("_", key, "_at")).drop("_at")
 
 
+#: Ranges for each shuffle partition, so that they spread evenly.
+RANGES_EACH = 4
+
+
+def key_bounds(rows: DataFrame, key: str, parts: int) -> list:
+    """Sorted bounds that cut the key's range into up to ``parts`` of about equal counts; it reads the key alone."""
+    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    return sorted(set(found or []))
+
+
+def part_of(key: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at most ``key``, by blocks and then within the block (null: 0)."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    at_most = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
+    block = at_most(F.array(*[F.lit(b[0]) for b in blocks]))
+    inner = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block - 1)
+    return F.when(key.isNull() | (block == 0), 0).otherwise((block - 1) * width + at_most(inner))
+
+
+def _leading(order: Column, kind: str) -> Column:
+    """A number that never falls as ``order`` rises: of a string its first seven bytes."""
+    if kind != "string":
+        return order
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(order, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
 def positions(df: DataFrame, order: str, name: str) -> DataFrame:
-    """0, 1, 2, ... in ``order``: ranks within ranges of the key, plus the counts of the ranges before."""
-    bounds = df.agg(F.percentile_approx(order, [i / 32 for i in range(1, 32)])).first()[0] or []
-    part = F.lit(0)
-    for i, b in enumerate(sorted(set(bounds)), 1):
-        part = F.when(F.col(order) >= F.lit(b), i).otherwise(part)
-    held = df.withColumn("_p", part)
+    """0, 1, 2, ... in ``order``, nulls first: ranks within ranges of the key, plus the counts of the ranges before.
+
+    There are a few ranges for each shuffle partition; equal keys are in any order.
+    """
+    held = df.withColumn("_o", _leading(F.col(order), dict(df.dtypes)[order]))
+    bounds = key_bounds(held, "_o", max(32, RANGES_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    held = held.withColumn("_p", part_of(F.col("_o"), bounds)).drop("_o")
     before = held.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = held.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    return ranked.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_r") - 1 + F.col("_before")).drop("_p", "_r", "_before")  # 32 rows
+    # as many rows as there are ranges
+    return ranked.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_r") - 1 + F.col("_before")).drop("_p", "_r", "_before")
 
 
 def ordinal_keys(df: DataFrame, order: str, pattern: str = "mai_%04d", name: str = "row_key") -> DataFrame:
@@ -70,8 +101,11 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def join_generations(tests: DataFrame, generations: DataFrame, key: str = "row_key", generated: str = "generated", order: str | None = None) -> DataFrame:
-    """Every test row with its generation, "" where there is none; of repeated generations the last in ``order``."""
-    last = last_by_key(generations, key, order) if order else generations.dropDuplicates([key])
+    """Every test row with its generation, "" where there is none; of repeated generations the last in ``order``.
+
+    A table has no order of its own, so without ``order`` it is the greatest as text: the same one each time.
+    """
+    last = last_by_key(generations, key, order) if order else generations.groupBy(key).agg(F.max(generated).alias(generated))
     return tests.join(last.select(key, generated), key, "left").withColumn(generated, F.coalesce(generated, F.lit("")))
 
 
@@ -105,12 +139,17 @@ def cached_headlines(articles: DataFrame, cache: DataFrame, url: str = "article_
     return joined.withColumn("fetch_state", state).withColumn("headline", F.when(F.col("fetch_state") == "cached", F.col("_cached")).otherwise("")).drop("_url", "_cached")
 
 
+def seeded_rank(key: Column | str, seed: int) -> Column:
+    """A text by which rows stand in a random order that seed and key alone decide."""
+    return F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(key) if isinstance(key, str) else key), "UTF-8"))
+
+
 def split_exact(df: DataFrame, key: str, seed: int = 42, test: float = 0.2) -> DataFrame:
     """``df`` with split: of n rows, ceil(test * n) are held out, the later half of them test, the others val.
 
     Rows rank by a seeded hash of the key. The sizes are exact; the ranks come from ranges of the hash.
     """
-    ranked = positions(df.withColumn("_h", F.xxhash64(F.lit(seed), key)), "_h", "_at")
+    ranked = positions(df.withColumn("_h", seeded_rank(key, seed)), "_h", "_at")
     n = df.agg(F.count("*").alias("_n"))
     held = F.ceil(F.col("_n") * test)
     ranked = ranked.join(F.broadcast(n))  # one row
@@ -120,12 +159,12 @@ def split_exact(df: DataFrame, key: str, seed: int = 42, test: float = 0.2) -> D
 
 def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A shuffle that doesn't depend on partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.orderBy(seeded_rank(key, seed), key)
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows at random; a seed gives the same rows each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return seeded_order(df, key, seed).limit(n)
 
 
 def union_sets(frames: Sequence[DataFrame], column: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -49,38 +50,57 @@ def html_tags(c: Column | str, n: int = 3) -> Column:
 
 def row_checks(articles: DataFrame, p: ValidationProfile) -> DataFrame:
     """link and one boolean for each check on single rows."""
-    text = F.coalesce("article_text", F.lit(""))
-    share = F.coalesce(X.foreign_share(text, p.markers), F.lit(0.0))
-    return articles.select(
+    text = F.col("_text")
+    told = articles.withColumn("_text", F.coalesce("article_text", F.lit(""))).withColumn("_share", X.foreign_share(text, p.markers))
+    return told.select(
         F.col("article_link"),
         (~F.coalesce(F.col("article_link").rlike(p.url), F.lit(False))).alias("url_format"),
-        (F.length(X.strip_ws(text)) < p.least_stripped).alias("near_empty"),
+        (~X.is_long(text, p.least_stripped)).alias("near_empty"),
         ((text != "") & (X.script_ratio_chars(text, p.script) < p.least_ratio)).alias("script_ratio"),
         text.rlike("[A-Za-z]").alias("latin_present"),
         text.rlike(HTML_TAG).alias("html_present"),
         text.rlike(f'[^{p.script.chars}{X.KEPT_MARKS}\\-"]').alias("stray_symbols"),
         X.has_preamble(text, p.preamble).alias("preamble_remnant"),
-        (F.coalesce("article_language", F.lit("")) != X.detect_language(text, p.markers)).alias("language_mismatch"),
+        (F.coalesce("article_language", F.lit("")) != X.language_of(F.col("_share"), p.markers)).alias("language_mismatch"),
         (F.length(text) < p.short).alias("short_texts"),
-        (share >= p.markers.mixed_from).alias("foreign_leakage"),
+        F.coalesce(F.col("_share") >= p.markers.mixed_from, F.lit(False)).alias("foreign_leakage"),
     )
 
 
-def validation_report(articles: DataFrame, p: ValidationProfile) -> DataFrame:
-    """(check_no, check_name, affected, is_issue), one row a check."""
+#: Parts of a check's rows that are counted and ranked apart, so that a check that every row fails is no hot task.
+SALTS = 256
+
+
+def _summed(flagged: DataFrame, n: int) -> DataFrame:
+    """(check_name, affected, examples) from a row for each link and check that it fails: the count and the n least links.
+
+    Both come from one pass over the rows.
+    """
+    salted = flagged.withColumn("_s", F.pmod(F.xxhash64("article_link"), F.lit(SALTS)))
+    part = W.partitionBy("check_name", "_s")
+    ranked = salted.withColumn("_r", F.row_number().over(part.orderBy("article_link"))).withColumn("_n", F.count("*").over(part)).where(F.col("_r") <= n)
+    return ranked.groupBy("check_name").agg(F.sum(F.when(F.col("_r") == 1, F.col("_n"))).alias("affected"), F.slice(F.array_sort(F.collect_list("article_link")), 1, n).alias("examples"))
+
+
+def validation_report(articles: DataFrame, p: ValidationProfile, n_examples: int = 5) -> DataFrame:
+    """(check_no, check_name, affected, examples, is_issue), one row a check; examples are the least links, none is an empty array."""
     spark = articles.sparkSession
     absent = [c for c in REQUIRED if c not in articles.columns]
     articles = articles.withColumns({c: F.lit(None).cast("string") for c in absent})
     rows = row_checks(articles, p)
     names = [n for _, n, _ in CHECKS if n in rows.columns]
-    counts = rows.agg(*[F.count_if(n).alias(n) for n in names])
-    tall = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("affected")) for n in names])).alias("x")).select("x.*")
-    links = profile.duplicate_keys(articles, F.col("article_link")).agg(F.lit("duplicate_links").alias("check_name"), F.count("*").alias("affected"))
-    texts = profile.duplicate_keys(articles, F.xxhash64(F.substring("article_text", 1, 300), F.sha1(F.encode(F.substring("article_text", 1, 300), "UTF-8")))).agg(F.lit("duplicate_texts").alias("check_name"), F.count("*").alias("affected"))
-    columns = spark.createDataFrame([("required_columns", len(absent))], "check_name string, affected bigint")
+    flagged = rows.select("article_link", F.explode(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))).alias("check_name"))
+    found = _summed(flagged, n_examples)
+    links = profile.duplicate_keys(articles, F.col("article_link"), "link")
+    prefix = F.struct(*X.wide_key(F.substring("article_text", 1, 300)))
+    texts = articles.groupBy(prefix.alias("key")).agg(F.count("*").alias("n"), F.min("article_link").alias("link")).where("n > 1")
+    for name, more in (("duplicate_links", links), ("duplicate_texts", texts)):
+        found = found.union(_summed(more.select(F.col("link").alias("article_link"), F.lit(name).alias("check_name")), n_examples))
+    named = spark.createDataFrame([("required_columns", len(absent), sorted(absent)[:n_examples])], "check_name string, affected bigint, examples array<string>")
     numbered = spark.createDataFrame(CHECKS, "check_no int, check_name string, flag boolean")
-    found = tall.union(links).union(texts).union(columns)
-    return found.join(F.broadcast(numbered), "check_name").select("check_no", "check_name", "affected", (F.col("flag") & (F.col("affected") > 0)).alias("is_issue"))  # 13 rows
+    found = F.broadcast(numbered).join(found.union(named), "check_name", "left")  # 13 rows
+    affected = F.coalesce("affected", F.lit(0))
+    return found.select("check_no", "check_name", affected.alias("affected"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), (F.col("flag") & (affected > 0)).alias("is_issue"))
 
 
 def examples(articles: DataFrame, p: ValidationProfile, check: str, n: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,29 @@ def affect_report(rows: DataFrame, slices: list[str]) -> DataFrame:
     return C.missing(rows, slices, "pred_emotion").join(named(emotion, "emo"), slices, "left").join(js, slices, "left").join(named(sentiment, "sent"), slices, "left")
 
 
-def evaluate_generations(tests: DataFrame, generations: DataFrame, run: str, ref: str, key: str = "row_key", resamples: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Per-item scores, and the run's metrics with 95 % intervals."""
-    items = O.score_pairs(join_generations(tests, generations, key), key, ref, "generated").persist()
-    metrics = ["bleu", "rouge1", "rouge2", "rougeL"]
-    ci = O.bootstrap_ci(items, [], key, metrics, resamples)
-    wide = ci.groupBy().pivot("metric", metrics).agg(F.first("mean").alias("mean"), F.first(F.struct("lo", "hi")).alias("ci"))
-    scores = wide.select(*[F.col(f"`{m}_{k}`").alias(f"{n}{s}") for m, n in zip(metrics, ["bleu_sentence", *metrics[1:]], strict=True) for k, s in (("mean", ""), ("ci", "_ci"))])
-    counts = items.agg(F.count("*").alias("n"), F.count_if(F.col("hyp") == "").alias("n_empty"), profile.rate(F.col("hyp") != "").alias("valid_rate"))
-    corpus = O.corpus_bleu(items, [], "stats").select((F.col("bleu") / 100).alias("bleu_corpus"), "brevity_penalty")
-    lengths = profile.length_summary(items, F.col("len"))
-    one = F.lit(run).alias("run")
-    # each of these is one row
-    return items, counts.select(one, "*").join(scores).join(corpus).join(lengths)
+METRICS = {"bleu": "bleu_sentence", "rouge1": "rouge1", "rouge2": "rouge2", "rougeL": "rougeL", "bertscore_f1": "bertscore_f1"}
+
+
+def run_metrics(items: DataFrame, runs: list[str], key: str = "row_key", resamples: int = 1000) -> DataFrame:
+    """One row a run from per-item scores: grand means with 95 % intervals, corpus BLEU, valid outputs, lengths.
+
+    All runs in one grouped plan for sums and one for intervals. bertscore_f1_nonempty is the mean where neither side is empty.
+    """
+    metrics = [m for m in METRICS if m in items.columns]
+    ci = O.bootstrap_ci(items, runs, key, metrics, resamples)
+    wide = ci.groupBy(*runs).pivot("metric", metrics).agg(F.first("mean").alias("mean"), F.first(F.struct("lo", "hi")).alias("ci"))
+    scores = wide.select(*runs, *[F.col(f"`{m}_{k}`").alias(f"{METRICS[m]}{s}") for m in metrics for k, s in (("mean", ""), ("ci", "_ci"))])
+    model = [F.coalesce(F.avg(F.when((F.col("hyp") != "") & (F.col("ref") != ""), F.col("bertscore_f1"))), F.lit(0.0)).alias("bertscore_f1_nonempty")] if "bertscore_f1" in metrics else []
+    summed = items.groupBy(*runs).agg(F.count("*").alias("n"), F.count_if(F.col("hyp") == "").alias("n_empty"), profile.rate(F.col("hyp") != "").alias("valid_rate"), *model, *profile.length_stats(F.col("len")), *O.corpus_sums("stats"))
+    whole = summed.select(*[c for c in summed.columns if not c.startswith("_")], *O.corpus_scores()[:2]).withColumn("bleu_corpus", F.col("bleu") / 100).drop("bleu")
+    return whole.join(scores, runs)
+
+
+def evaluate_generations(tests: DataFrame, generations: DataFrame, run: str, ref: str, key: str = "row_key", resamples: int = 1000, order: str | None = None, scorer: Callable[[], O.PairScorer] | None = None, placeholder: str = "") -> tuple[DataFrame, DataFrame]:
+    """Per-item scores of one run, and its metrics. Of repeated generations the last in ``order`` counts."""
+    joined = join_generations(tests, generations, key, order=order).withColumn("run", F.lit(run))
+    items = O.score_pairs(joined, ["run", key], ref, "generated", placeholder=placeholder, scorer=scorer)
+    return items, run_metrics(items, ["run"], key, resamples)
 
 
 def manifest(metrics: DataFrame, **protocol: object) -> DataFrame:

@@ -279,9 +279,13 @@ def top_sources(spark, d):
     return profile.top_counts(table(spark, d, "documents"), "source")
 
 
-@query("SELECT url AS key, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1")
+S_LINK = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) || '/' || page_id % 97"
+
+
+@query(f"SELECT {S_LINK} AS key, count(*) AS n FROM pages GROUP BY key HAVING count(*) > 1")
 def dup_links(spark, d):
-    return profile.duplicate_keys(table(spark, d, "pages"), F.col("url"))
+    """Addresses of pages don't repeat; hosts with a number of 97 do."""
+    return profile.duplicate_keys(table(spark, d, "pages"), F.concat(U.netloc("url"), F.lit("/"), (F.col("page_id") % 97).cast("string")))
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT substr(text, 1, 300) AS key FROM documents) GROUP BY key HAVING count(*) > 1")
@@ -385,22 +389,30 @@ def output_rates(spark, d):
 VALIDATION = validation.ValidationProfile(url=r"^https://src\d+\.example/\?p=\d*[02468]$", script=S.LATIN, markers=MARKERS, preamble=("License", "copyright"))
 
 
-@query(f"""WITH a AS (SELECT 'https://' || source || '.example/?p=' || doc_id AS article_link, text, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS lang FROM documents),
-c AS (SELECT count(*) FILTER (NOT regexp_matches(article_link, {q(VALIDATION.url)})) AS c3, count(*) FILTER (length({s_strip('text')}) < 100) AS c4, count(*) FILTER (text <> '' AND {LATIN_CHARS} < 0.5) AS c5,
-  count(*) FILTER (regexp_matches(text, '[A-Za-z]')) AS c6, count(*) FILTER (regexp_matches(text, '<[^>]+>')) AS c7, count(*) FILTER (regexp_matches(text, {q(f'[^{S.LATIN.chars}{X.KEPT_MARKS}' + chr(92) + '-"]')})) AS c8,
-  count(*) FILTER (contains(substr(text, 1, 300), 'License') OR contains(substr(text, 1, 300), 'copyright')) AS c9, count(*) FILTER (lang <> {S_LANGUAGE}) AS c11, count(*) FILTER (length(text) < 200) AS c12, count(*) FILTER ({S_SHARE} >= 0.2) AS c13 FROM a),
-r AS (SELECT 1 AS check_no, 'required_columns' AS check_name, 0 AS affected, true AS flag
-  UNION ALL SELECT 2, 'duplicate_links', (SELECT count(*) FROM (SELECT 1 FROM a GROUP BY article_link HAVING count(*) > 1)), true
-  UNION ALL SELECT 3, 'url_format', c3, true FROM c UNION ALL SELECT 4, 'near_empty', c4, true FROM c UNION ALL SELECT 5, 'script_ratio', c5, true FROM c UNION ALL SELECT 6, 'latin_present', c6, true FROM c
-  UNION ALL SELECT 7, 'html_present', c7, true FROM c UNION ALL SELECT 8, 'stray_symbols', c8, true FROM c UNION ALL SELECT 9, 'preamble_remnant', c9, true FROM c
-  UNION ALL SELECT 10, 'duplicate_texts', (SELECT count(*) FROM (SELECT 1 FROM a GROUP BY substr(text, 1, 300) HAVING count(*) > 1)), true
-  UNION ALL SELECT 11, 'language_mismatch', c11, false FROM c UNION ALL SELECT 12, 'short_texts', c12, false FROM c UNION ALL SELECT 13, 'foreign_leakage', c13, false FROM c)
-SELECT check_no, check_name, affected::BIGINT AS affected, flag AND affected > 0 AS is_issue FROM r""")
+S_CHECKS = {
+    "url_format": f"NOT regexp_matches(article_link, {q(VALIDATION.url)})", "near_empty": f"length({s_strip('text')}) < 100", "script_ratio": f"text <> '' AND {LATIN_CHARS} < 0.5",
+    "latin_present": "regexp_matches(text, '[A-Za-z]')", "html_present": "regexp_matches(text, '<[^>]+>')", "stray_symbols": f"""regexp_matches(text, {q(f'[^{S.LATIN.chars}{X.KEPT_MARKS}' + chr(92) + '-"]')})""",
+    "preamble_remnant": "contains(substr(text, 1, 300), 'License') OR contains(substr(text, 1, 300), 'copyright')", "language_mismatch": f"lang <> {S_LANGUAGE}", "short_texts": "length(text) < 200", "foreign_leakage": f"{S_SHARE} >= 0.2",
+}
+
+
+def s_report() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS check_name, article_link FROM a WHERE {holds}" for name, holds in S_CHECKS.items())
+    numbers = ", ".join(f"({n}, '{name}', {str(flag).lower()})" for n, name, flag in validation.CHECKS)
+    return f"""WITH a AS (SELECT 'https://' || source || '.example/?p=' || doc_id AS article_link, text, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS lang FROM documents),
+found AS ({rows} UNION ALL SELECT 'duplicate_links', article_link FROM a GROUP BY article_link HAVING count(*) > 1
+  UNION ALL SELECT 'duplicate_texts', min(article_link) FROM a GROUP BY substr(text, 1, 300) HAVING count(*) > 1),
+c AS (SELECT check_name, count(*) AS affected, array_to_string(list_sort(list(article_link))[1:5], ' ') AS examples FROM found GROUP BY check_name)
+SELECT check_no::INT AS check_no, check_name, coalesce(affected, 0)::BIGINT AS affected, coalesce(examples, '') AS examples, flag AND coalesce(affected, 0) > 0 AS is_issue
+FROM (VALUES {numbers}) v(check_no, check_name, flag) LEFT JOIN c USING (check_name)"""
+
+
+@query(s_report())
 def validation_report(spark, d):
     link = F.concat(F.lit("https://"), "source", F.lit(".example/?p="), F.col("doc_id").cast("string"))
     named = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "fr", "French").otherwise(F.col("lang"))
     articles = table(spark, d, "documents").select(link.alias("article_link"), F.col("text").alias("article_text"), named.alias("article_language"))
-    return validation.validation_report(articles, VALIDATION)
+    return validation.validation_report(articles, VALIDATION).withColumn("examples", F.array_join("examples", " "))
 
 
 # ---- classification ----
@@ -464,10 +476,19 @@ def polarity_flip_rate(spark, d):
     return _rows(spark, d).where("pred IS NOT NULL").groupBy("lang").agg(C.polarity_flip_rate(F.col("gold"), F.col("pred")).alias("flip_rate"))
 
 
-@query(f"""WITH {S_ROWS} SELECT lang, 'm' AS model, n, accuracy, kappa, accuracy AS source_accuracy, kappa AS source_kappa, 0.0::DOUBLE AS accuracy_difference, CASE WHEN accuracy <> 0 THEN 1.0::DOUBLE END AS accuracy_ratio, 0.0::DOUBLE AS kappa_difference, CASE WHEN kappa <> 0 THEN 1.0::DOUBLE END AS kappa_ratio FROM scores""")
+S_SOURCE = f"""WITH {S_ROWS}, src AS (SELECT lang, quality AS gold, (n_chars >= 1000)::INT AS pred FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT lang, count(*) AS n, avg((gold = pred)::INT) AS po, avg(gold) AS g, avg(pred) AS p FROM src GROUP BY lang),
+base AS (SELECT lang, po AS source_accuracy, (po - (g * p + (1 - g) * (1 - p))) / (1 - (g * p + (1 - g) * (1 - p))) AS source_kappa FROM t)"""
+
+
+@query(f"""{S_SOURCE} SELECT lang, 'm' AS model, n, accuracy, kappa, source_accuracy, source_kappa, accuracy - source_accuracy AS accuracy_difference, accuracy / nullif(source_accuracy, 0) AS accuracy_ratio,
+  kappa - source_kappa AS kappa_difference, kappa / nullif(source_kappa, 0) AS kappa_ratio FROM scores JOIN base USING (lang)""")
 def affect_preservation(spark, d):
+    """Scores of one classifier of three labels beside those of another of two, in the place of outputs and their sources."""
     own = macro_metrics(spark, d).select("lang", "n", "accuracy", "kappa")
-    return C.preservation(own.withColumn("model", F.lit("m-instant")), own.drop("n").withColumn("model", F.lit("m")), {"m-instant": "m"}, ("lang", "model"))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("lang", F.col("quality").cast("int").alias("gold"), (F.col("n_chars") >= 1000).cast("int").alias("pred"))
+    source = C.summary(C.label_margins(C.confusion(rows, ["lang"], "gold", "pred"), ["lang"]), ["lang"]).select("lang", "accuracy", "kappa")
+    return C.preservation(own.withColumn("model", F.lit("m-instant")), source.withColumn("model", F.lit("m")), {"m-instant": "m"}, ("lang", "model"))
 
 
 def _vectors(spark, d, k: int = 7):
@@ -552,20 +573,58 @@ def rouge2(spark, d):
     return O.rouge_n(_pairs(spark, d), ["k"], "ref", "hyp", 2)
 
 
-@query()
+S_LCS = f"""WITH RECURSIVE {S_PAIRS}, t AS (SELECT k, {s_tokens('ref')} AS r, {s_tokens('hyp')} AS h FROM pairs),
+lcs AS (SELECT k, 0::BIGINT AS i, j::BIGINT AS j, 0::BIGINT AS v FROM t, unnest(range(0, len(h) + 1)) u(j)
+  UNION ALL SELECT k, i + 1, j, max(step) OVER (PARTITION BY k ORDER BY j) FROM (
+    SELECT lcs.k, i, j, greatest(v, CASE WHEN j > 0 AND r[i + 1] = h[j] THEN lag(v) OVER (PARTITION BY lcs.k ORDER BY j) + 1 ELSE 0 END) AS step FROM lcs JOIN t ON lcs.k = t.k WHERE i < len(r))),
+m AS (SELECT t.k, len(r) AS r, len(h) AS h, v AS m FROM lcs JOIN t ON lcs.k = t.k WHERE i = len(r) AND j = len(h)),
+p AS (SELECT k, CASE WHEN h > 0 THEN m::DOUBLE / h ELSE 0.0::DOUBLE END AS precision, CASE WHEN r > 0 THEN m::DOUBLE / r ELSE 0.0::DOUBLE END AS recall FROM m)
+SELECT k, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM p"""
+
+
+@query(S_LCS)
 def rouge_l(spark, d):
     return _pairs(spark, d).select("k", O.rouge_l(X.tokens("ref"), X.tokens("hyp")).alias("s")).select("k", "s.*")
 
 
-@query()
+def s_intl(c: str) -> str:
+    x = s_replace(s_replace(c, r"(\P{N})(\p{P})", r"\1 \2 "), r"(\p{P})(\P{N})", r" \1 \2")
+    return s_tokens(s_replace(x, r"(\p{S})", r" \1 "))
+
+
+def s_13a(c: str) -> str:
+    x = f"' ' || {s_fold(c)} || ' '"
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = s_replace(x, pattern, by)
+    return s_tokens(x)
+
+
+def s_counts(tokens: Callable[[str], str]) -> str:
+    """matches and totals of each pair and order, and both lengths."""
+    side = lambda c, f, n: f"SELECT k, {n} AS n, {' || chr(1) || '.join(f'{c}[i + {j}]' for j in range(n))} AS g, {f} AS is_ref FROM t, unnest(range(1, len({c}) - {n - 2})) u(i)"
+    grams = " UNION ALL ".join(side(c, f, n) for n in range(1, 5) for c, f in (("r", "true"), ("h", "false")))
+    return f"""{S_PAIRS}, t AS (SELECT k, {tokens('ref')} AS r, {tokens('hyp')} AS h FROM pairs), g AS ({grams}),
+c AS (SELECT k, n, g, count(*) FILTER (is_ref) AS a, count(*) FILTER (NOT is_ref) AS b FROM g GROUP BY k, n, g), s AS (SELECT k, n, sum(least(a, b)) AS m FROM c GROUP BY k, n),
+o AS (SELECT t.k, o.n, coalesce(s.m, 0) AS m, greatest(len(h) - o.n + 1, 0) AS total, len(h) AS hyp, len(r) AS ref FROM t CROSS JOIN (VALUES (1), (2), (3), (4)) o(n) LEFT JOIN s ON s.k = t.k AND s.n = o.n)"""
+
+
+S_SMOOTHED = "CASE WHEN total = 0 THEN 0.0::DOUBLE WHEN m > 0 THEN ln(m::DOUBLE / total) ELSE ln(1 / (pow(2.0::DOUBLE, count(*) FILTER (m = 0 AND total > 0) OVER (PARTITION BY k ORDER BY n)) * total)) END AS l"
+S_BREVITY = "CASE WHEN hyp >= ref THEN 1.0::DOUBLE WHEN hyp > 0 THEN exp(1 - ref::DOUBLE / hyp) ELSE 0.0::DOUBLE END"
+
+
+@query(f"""WITH {s_counts(s_intl)}, l AS (SELECT *, {S_SMOOTHED} FROM o)
+SELECT k, round(CASE WHEN max(m) FILTER (n = 1) > 0 THEN 100 * any_value({S_BREVITY}) * exp(sum(l) / count(*) FILTER (total > 0)) ELSE 0.0::DOUBLE END, 9) AS bleu FROM l GROUP BY k""")
 def sentence_bleu(spark, d):
-    return _pairs(spark, d).select("k", O.bleu_stats(O.intl_tokens("ref"), O.intl_tokens("hyp")).alias("s")).select("k", O.bleu_score(F.col("s")).alias("bleu"))
+    return _pairs(spark, d).select("k", O.bleu_stats(O.intl_tokens("ref"), O.intl_tokens("hyp")).alias("s")).select("k", F.round(O.bleu_score(F.col("s")), 9).alias("bleu"))
 
 
-@query()
+@query(f"""WITH {s_counts(s_13a)}, a AS (SELECT 1 AS k, n, sum(m) AS m, sum(total) AS total, sum(hyp) AS hyp, sum(ref) AS ref FROM o GROUP BY n), l AS (SELECT *, {S_SMOOTHED} FROM a)
+SELECT 'all' AS run, round(CASE WHEN max(m) FILTER (n = 1) > 0 AND min(total) > 0 THEN 100 * any_value({S_BREVITY}) * exp(sum(l) / 4) ELSE 0.0::DOUBLE END, 9) AS bleu, round(any_value({S_BREVITY}), 9) AS brevity_penalty,
+  {', '.join(f'round(max(CASE WHEN total > 0 THEN 100.0::DOUBLE * m / total ELSE 0.0::DOUBLE END) FILTER (n = {n}), 9) AS bleu{n}' for n in range(1, 5))} FROM l""")
 def corpus_bleu(spark, d):
     rows = _pairs(spark, d).select(F.lit("all").alias("run"), O.bleu_stats(O.tokens_13a("ref"), O.tokens_13a("hyp")).alias("s"))
-    return O.corpus_bleu(rows, ["run"], "s")
+    found = O.corpus_bleu(rows, ["run"], "s")
+    return found.select("run", *[F.round(c, 9).alias(c) for c in found.columns if c != "run"])
 
 
 @query()
@@ -630,11 +689,26 @@ def split_counts(spark, d):
     return tables.split_exact(table(spark, d, "documents").select("doc_id"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+S_RANK = "md5('42:' || doc_id::VARCHAR)"
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {S_RANK}, doc_id LIMIT 25")
 def random_sample(spark, d):
     return tables.sample_rows(table(spark, d, "documents").select("doc_id"), "doc_id", 25)
 
 
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {S_RANK}) - 1 AS place, count(*) OVER () AS n FROM documents), s AS (SELECT *, ceil(n * 0.2)::BIGINT AS held FROM r)
+SELECT doc_id, CASE WHEN place < n - held THEN 'train' WHEN place < n - ceil(held / 2)::BIGINT THEN 'val' ELSE 'test' END AS split FROM s""")
+def split_rows(spark, d):
+    return tables.split_exact(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {S_RANK}, doc_id) - 1 AS place FROM documents")
+def shuffled_rows(spark, d):
+    rows = tables.seeded_order(table(spark, d, "documents").select("doc_id"), "doc_id").withColumn("rank", tables.seeded_rank("doc_id", 42))
+    return tables.positions(rows, "rank", "place").select("doc_id", "place")
+
+
 @query("SELECT doc_id, 'mai_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, greatest(4, length((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR))::INT, '0') AS row_key FROM documents")
 def ordinal_keys(spark, d):
     return tables.ordinal_keys(table(spark, d, "documents").select("doc_id"), "doc_id")

@@ -20,8 +20,8 @@ def read_articles(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def read_articles_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """UTF-8, or Latin-1 if some line isn't valid UTF-8."""
-    bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string")))
+    """UTF-8, or Latin-1 if some line isn't valid UTF-8. Lines are checked one by one, whatever the files' size."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return read_articles(spark, path, schema, "UTF-8" if bad.isEmpty() else "ISO-8859-1")
 
 

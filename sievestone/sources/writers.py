@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,15 @@ def upsert(df: DataFrame, path: str, key: str, order: str) -> None:
 def latest(df: DataFrame, key: str) -> DataFrame:
     others = [c for c in df.columns if c not in (key, "_version")]
     return df.groupBy(key).agg(F.max_by(F.struct(*others), "_version").alias("_r")).select(key, "_r.*")
+
+
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    """The table as a version of its own beside the earlier ones: nothing that is there is touched."""
+    df.write.mode("error").parquet(f"{path.rstrip('/')}/version={version}")
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of a table, the highest if none is named."""
+    rows = spark.read.parquet(path)
+    chosen = version if version is not None else rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == chosen).drop("version")

@@ -145,3 +145,17 @@ def test_overlap_scores(spark):
     assert 0 < got[5]["bleu"] < 1
     native = df.where("k IN (1, 3)").select("k", O.rouge_l_native(X.tokens("ref"), X.tokens("hyp")).alias("n")).orderBy("k").collect()
     assert [r["n"] for r in native] == [4, 2]
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 5000 + "<p>deep <b>text</b></p><a href='/x'>link</a>" + "</div>" * 5000
+    df = spark.createDataFrame([(deep,), ("<h1>a</h1>" + "<p>x<div>" * 3000,), (None,), ("",)], "html string")
+    got = df.select(H.headline("html").alias("h"), F.size(H.links("html")).alias("n"), H.text_blocks("html").alias("b")).collect()
+    assert [r["h"] for r in got] == ["", "a", "", ""] and [r["n"] for r in got] == [1, 0, 0, 0] and got[0]["b"] == ["deep", "text", "link"]
+
+
+def test_grams_bind_their_tokens(spark):
+    df = spark.createDataFrame([("a b c d",), ("a",), ("",), (None,)], "t string")
+    grams = lambda n: [r[0] and [g.replace("\x01", "_") for g in r[0]] for r in df.select(O.ngrams(X.tokens("t"), n)).collect()]
+    assert grams(1)[:3] == [["a", "b", "c", "d"], ["a"], []] and grams(2)[:3] == [["a_b", "b_c", "c_d"], [], []] and grams(4)[0] == ["a_b_c_d"]
+    assert [r[0] for r in df.select(X.has_unique_words("t", 2)).collect()][:3] == [True, False, False]

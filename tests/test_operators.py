@@ -6,9 +6,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import annotate, cleaning, profile, tables
+from sievestone import schemas as S
+from sievestone.functions import text as X
+from sievestone.operators import annotate, cleaning, overlap, profile, tables, validation
 from sievestone.operators import classification as C
 from sievestone.schemas import DEVANAGARI, SENTIMENTS
+from sievestone.plans import jobs
 from sievestone.sources import readers, writers
 from sievestone.streaming import incremental
 
@@ -133,3 +136,57 @@ def test_stream_annotates_once(spark, tmp_path):
     rows = incremental.read_stream(spark, src, spark.read.parquet(src).schema)
     incremental.annotate_stream(rows, str(tmp_path / "ck"), str(tmp_path / "out"), "k", annotate.stub_annotator, "t").awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 9]
+
+
+def test_a_key_that_most_rows_share(spark):
+    rows = [(i, "same text " * 30 if i % 3 else f"some words {i} " * 40, None if i % 5 == 0 else "k") for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, text string, k string")
+    want = {}
+    for i, t, _ in rows:
+        want.setdefault(t.strip()[:500].strip(), i)
+    assert sorted(r["id"] for r in cleaning.keep_first(df, [X.prefix_key("text")], ["id"]).collect()) == sorted(want.values())
+    linked = {r["id"]: r for r in cleaning.keep_first(df, [F.col("k")], ["id"], link="id").collect()}
+    assert len(linked) == 300 and all(r["first_id"] == (0 if r["k"] is None else 1) and r["is_first"] == (i in (0, 1)) for i, r in linked.items())
+    reasons = {r["id"]: r["reason"] for r in cleaning.drop_reasons(df, "text", "id", S.LATIN).collect()}
+    assert {i for i, x in reasons.items() if x == "kept"} == set(want.values()) and len(reasons) == 300
+    empty = df.where("id < 0")
+    assert cleaning.keep_first(empty, [F.col("k")], ["id"]).count() == cleaning.drop_reasons(empty, "text", "id", S.LATIN).count() == 0
+
+
+def test_positions_of_strings_and_nulls(spark):
+    rows = [(None if i % 50 == 0 else f"key {i * 7919 % 1000:04d} é", i) for i in range(500)]
+    got = tables.positions(spark.createDataFrame(rows, "k string, i int"), "k", "at").collect()
+    assert sorted(r["at"] for r in got) == list(range(500))
+    keys = [r["k"] for r in sorted(got, key=lambda r: r["at"])]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k))
+    assert tables.positions(spark.createDataFrame([], "k string"), "k", "at").count() == 0
+
+
+def test_repeated_generations_without_an_order(spark):
+    tests = spark.createDataFrame([("a",), ("b",)], "row_key string")
+    made = spark.createDataFrame([("a", "x"), ("a", "z"), ("a", "y")], "row_key string, generated string").repartition(3)
+    assert {r["row_key"]: r["generated"] for r in tables.join_generations(tests, made).collect()} == {"a": "z", "b": ""}
+
+
+def test_poisson_weights(spark):
+    rows = [("r" if i % 2 else "s", i, float(i % 7)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "run string, k bigint, m double").repartition(5)
+    got = {r["run"]: (r["lo"], r["hi"]) for r in overlap.poisson_ci(df, ["run"], "k", "m", 500).collect()}
+    exact = {r["run"]: (r["lo"], r["hi"]) for r in overlap.bootstrap_ci(df, ["run"], "k", ["m"], 500).collect()}
+    assert all(abs(a - b) < 0.03 for run in ("r", "s") for a, b in zip(got[run], exact[run]))
+    assert got == {r["run"]: (r["lo"], r["hi"]) for r in overlap.poisson_ci(df.repartition(2), ["run"], "k", "m", 500).collect()}  # whatever the partitions
+
+
+def test_runs_side_by_side(spark):
+    items = overlap.score_pairs(spark.createDataFrame([("a", 1, "x y z", "x y"), ("a", 2, "p q", ""), ("b", 1, "x y z", "x y z")], "run string, k int, ref string, hyp string"), ["run", "k"], "ref", "hyp", scorer=overlap.stub_scorer)
+    got = {r["run"]: r for r in jobs.run_metrics(items, ["run"], "k", 50).collect()}
+    assert (got["a"]["n"], got["a"]["n_empty"], got["b"]["rouge1"], got["b"]["bleu_corpus"]) == (2, 1, 1.0, 0.0)
+    assert got["a"]["bertscore_f1"] == got["a"]["bertscore_f1_nonempty"] / 2 == pytest.approx(0.3)
+
+
+def test_validator_names_the_least_links(spark):
+    rows = [(f"https://maithilijindabaad.com/?p={i % 4}", "क" * 300, "x") for i in range(8)] + [("bad", "short", "x"), (None, None, None)]
+    report = {r["check_name"]: r for r in validation.validation_report(spark.createDataFrame(rows, "article_link string, article_text string, article_language string"), validation.ValidationProfile()).collect()}
+    assert report["duplicate_links"]["examples"] == [f"https://maithilijindabaad.com/?p={i}" for i in range(4)] and report["duplicate_texts"]["affected"] == 1
+    assert report["url_format"]["affected"] == 2 and report["required_columns"]["examples"] == []
+    assert validation.validation_report(spark.createDataFrame([], "article_text string"), validation.ValidationProfile()).where("check_no = 1").first()["examples"] == ["article_language", "article_link"]
