@@ -149,7 +149,7 @@ def repair_preamble(c: Column | str, words: Sequence[str] = PREAMBLE_WORDS) -> C
 
 
 INVISIBLE = r"\x{200b}-\x{200f}\x{202a}-\x{202e}\x{feff}\x{00a0}"
-#: Punctuation that cleaning keeps beside a script and digits.
+# Punctuation that cleaning keeps beside a script and digits.
 KEPT_MARKS = r"0-9\x{0964}\x{0965} \t\n\r,.!?:;()\x{2013}\x{2014}\x{2026}\x{201c}\x{201d}\x{2018}\x{2019}"
 _FOREIGN_WORD = r"[A-Za-z]+(?:['\-][A-Za-z]+)*"
 _ADDRESS, _ENTITY = r"https?://\S+", r"&[a-zA-Z#0-9]+;"
@@ -176,9 +176,13 @@ BOILERPLATE = (
     r"|read\s+more|also\s+read|related\s+post|tags?\s*:|posted\s+by|leave\s+a\s+comment|copyright|all\s+rights\s+reserved|privacy\s+policy|terms\s+of\s+use"
 )
 # As above, for the quality flags, which also know a category label.
-FLAG_BOILERPLATE = BOILERPLATE.replace("|posted", r"|category\s*:|posted")
+FLAG_BOILERPLATE = (
+    r"share\s+this|follow\s+us|subscribe|click\s+here|facebook|instagram|twitter|youtube|whatsapp|telegram|download\s+app"
+    r"|read\s+more|also\s+read|related\s+post|tags?\s*:|category\s*:|posted\s+by|leave\s+a\s+comment|copyright|all\s+rights\s+reserved|privacy\s+policy|terms\s+of\s+use"
+)
+# Traces of markup.
 HTML_ARTIFACTS = r"<[a-zA-Z]|&amp;|&nbsp;|&lt;|&gt;|&quot;|\[caption|\[/caption\]|\[gallery|<!--|-->"
-# An end in two or three dots, in a word for "read" or "click", or the opening of a quotation marker.
+# An end in two or three dots, in a word for "read" or "click", or the opening of a quotation marker.
 TRUNCATION = r"\.\.\.?\s*$|(?:^|[^\p{L}\p{M}\p{N}_])(?:पढ़ें|क्लिक)\s*$|In\s+[\"\x{201c}\x{201d}]"
 
 

@@ -109,6 +109,7 @@ def intl_tokens(c: Column | str) -> Column:
 
 def tokens_13a(c: Column | str) -> Column:
     """BLEU's 13a tokens: ASCII punctuation apart, periods and commas unless between digits, dashes after digits."""
+    # The patterns of the public metric.
     text = F.concat(F.lit(" "), X.collapse_ws(X.col(c)), F.lit(" "))
     text = F.regexp_replace(text, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
     text = F.regexp_replace(text, r"([^0-9])([\.,])", "$1 $2 ")

@@ -515,13 +515,24 @@ def dominant_label(spark, d):
     return _vectors(spark, d).select("vec_id", v.alias("n")).where("n IS NOT NULL").select("vec_id", N.dominant_label(F.col("n"), S.EMOTIONS).alias("label"), F.array_max("n").alias("top"))
 
 
-@query(f"""WITH {S_VECTORS}, {S_JS}, e AS (SELECT label, js, {S_LABELS}[list_position(p, list_max(p))] AS gold, {S_LABELS}[list_position(q, list_max(q))] AS pred FROM (SELECT js.*, v.q FROM js JOIN v USING (vec_id)))
-SELECT label AS slice_no, count(*) AS n_scored, 0::BIGINT AS n_missing, avg((gold = pred)::INT) AS emo_acc, round(avg(js), 9) AS emo_mean_js FROM e GROUP BY label""")
+S_NAMES = "['positive', 'negative', 'neutral', 'mixed']"
+
+
+@query(f"""WITH {S_VECTORS}, {S_JS}, e AS (SELECT label, js, CASE WHEN vec_id % 9 > 0 THEN {S_LABELS}[list_position(q, list_max(q))] END AS pred, {S_LABELS}[list_position(p, list_max(p))] AS gold,
+  {S_NAMES}[vec_id % 4 + 1] AS g, {S_NAMES}[(vec_id // 5) % 3 + 1] AS s FROM (SELECT js.*, v.q FROM js JOIN v USING (vec_id))),
+f AS (SELECT label, g, s FROM e WHERE g <> 'mixed'), c AS (SELECT label, unnest(['positive', 'negative', 'neutral']) AS x FROM (SELECT DISTINCT label FROM f)),
+m AS (SELECT c.label, x, count(*) FILTER (g = x AND s = x) AS tp, count(*) FILTER (g = x) AS support, count(*) FILTER (s = x) AS predicted FROM c JOIN f USING (label) GROUP BY c.label, x),
+t AS (SELECT label, sum(tp)::DOUBLE / sum(support) AS acc, avg(coalesce(2 * tp::DOUBLE / nullif(support + predicted, 0), 0)) AS f1 FROM m GROUP BY label)
+SELECT label AS slice_no, count(pred) AS n_scored, count(*) - count(pred) AS n_missing, avg((gold = pred)::INT) AS emo_acc, round(avg(js) FILTER (pred IS NOT NULL), 9) AS emo_mean_js,
+  any_value(acc) AS sent_acc, any_value(f1) AS sent_macro_f1, avg((g = 'positive' AND s = 'negative' OR g = 'negative' AND s = 'positive')::INT) FILTER (pred IS NOT NULL) AS sent_polarity_flip_rate FROM e LEFT JOIN t USING (label) GROUP BY label""")
 def affect_report(spark, d):
+    """Both axes with missing predictions; gold sentiments outside the label set leave the sentiment scores alone."""
     rows = _vectors(spark, d)
     name = lambda c: N.dominant_label(F.col(c), S.EMOTIONS)
-    rows = rows.select(F.col("label").alias("slice_no"), name("p").alias("gold_emotion"), name("q").alias("pred_emotion"), F.lit("positive").alias("gold_sentiment"), F.lit("neutral").alias("pred_sentiment"), F.col("p").alias("gold_vector"), F.col("q").alias("pred_vector"))
-    return jobs.affect_report(rows, ["slice_no"]).select("slice_no", "n_scored", "n_missing", "emo_acc", F.round("emo_mean_js", 9).alias("emo_mean_js"))
+    pick = lambda i: F.get(F.array(*map(F.lit, ("positive", "negative", "neutral", "mixed"))), i.cast("int"))
+    pred = F.when(F.col("vec_id") % 9 > 0, name("q"))
+    rows = rows.select(F.col("label").alias("slice_no"), name("p").alias("gold_emotion"), pred.alias("pred_emotion"), pick(F.col("vec_id") % 4).alias("gold_sentiment"), pick(F.floor(F.col("vec_id") / 5) % 3).alias("pred_sentiment"), F.col("p").alias("gold_vector"), F.col("q").alias("pred_vector"))
+    return jobs.affect_report(rows, ["slice_no"]).select("slice_no", "n_scored", "n_missing", "emo_acc", F.round("emo_mean_js", 9).alias("emo_mean_js"), "sent_acc", "sent_macro_f1", "sent_polarity_flip_rate")
 
 
 @query(f"WITH {S_VECTORS}, {S_JS} SELECT vec_id, list_position(p, list_max(p)) % 2 = label % 2 AS emotion_correct, label % 2 = 0 AS sentiment_correct, round(js, 4) AS js_divergence FROM js")
@@ -759,7 +770,15 @@ scalar(s_replace("url", "[^A-Za-z0-9._-]", "_") + " AS name", "safe_names", "pag
 S_PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 scalar(f"split_part(regexp_replace({S_PATH}, '^/+|/+$', '', 'g'), '/', 1) AS category", "url_category", "pages", "page_id", lambda: {"category": U.url_category("url")})
 scalar(r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS netloc", "url_netloc", "pages", "page_id", lambda: {"netloc": U.netloc("url")})
-scalar(r"CASE WHEN page_id % 3 > 0 THEN 'https://e.example/?p=' || page_id END AS canonical", "canonical_urls", "pages", "page_id", lambda: {"canonical": U.canonical_article_url(F.concat(F.when(F.col("page_id") % 3 == 0, "/?q=").when(F.col("page_id") % 3 == 1, "/?a=b&p=").otherwise("https://x.example/?p="), F.col("page_id").cast("string")), "https://e.example")})
+scalar(r"CASE WHEN page_id % 3 > 0 THEN 'https://e.example/?p=' || nullif(regexp_extract(url, 'page=(\d+)', 1), '') END AS canonical", "canonical_urls", "pages", "page_id", lambda: {"canonical": U.canonical_article_url(_paged("url"), "https://e.example/")})
+
+
+def _paged(url: str):
+    """The page's number as parameter p: of a whole address, of a relative one, or under another name."""
+    whole = F.replace(F.col(url), F.lit("page="), F.lit("a=b&p="))
+    return F.when(F.col("page_id") % 3 == 0, F.col(url)).when(F.col("page_id") % 3 == 1, whole).otherwise(F.regexp_replace(whole, "^https?://[^/]*", ""))
+
+
 scalar("'p:' || CASE WHEN page_id % 2 = 0 THEN 'groq' ELSE 'none' END AS spec, CASE WHEN page_id % 2 = 0 THEN 'groq' ELSE 'openrouter' END AS provider, CASE WHEN page_id % 2 = 0 THEN 'a:qwen3' ELSE 'none:a:qwen3' END AS model, CASE WHEN page_id % 2 = 0 THEN '{\"reasoning_effort\":\"none\"}' ELSE '{\"reasoning\":{\"enabled\":false}}' END AS options", "model_specs", "pages", "page_id", lambda: _specs())
 
 

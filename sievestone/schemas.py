@@ -23,6 +23,7 @@ ANNOTATION = T.StructType(
 )
 PREDICTION = T.StructType([*(T.StructField(c, T.DoubleType()) for c in EMOTION_COLUMNS), T.StructField("dominant_emotion", T.StringType()), T.StructField("pred_sentiment", T.StringType())])
 GENERATION = strings("row_key", "generated")
+# Fields of metric files, in both generations of them.
 CONFUSION = "struct<labels:array<string>,matrix:array<array<bigint>>>"
 PER_CLASS = "map<string,struct<precision:double,recall:double,`f1-score`:double,support:double>>"
 SCORES = ["emo_acc", "emo_macro_precision", "emo_macro_recall", "emo_macro_f1", "emo_weighted_f1", "emo_kappa", "emo_mean_js", "sent_acc", "sent_macro_precision", "sent_macro_recall", "sent_macro_f1", "sent_weighted_f1", "sent_kappa"]

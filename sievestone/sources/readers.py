@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +37,30 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """A small workbook, through pandas on the driver, which needs an Excel package there."""
-    import pandas as pd
-
-    pdf = pd.read_excel(path, dtype=str, keep_default_na=False)
-    return spark.createDataFrame(pdf, strings(*pdf.columns))
+    """The first sheet of a small workbook, read on the driver: a header, then strings; an absent cell is empty."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    rows = list(_sheet_rows(bytes(content)))
+    width = len(rows[0]) if rows else 0
+    table = [tuple((r + [""] * width)[:width]) for r in rows[1:]]
+    return spark.createDataFrame(table, strings(*rows[0])) if rows else spark.createDataFrame([], "value string")
+
+
+def _sheet_rows(content: bytes) -> Iterator[list[str]]:
+    """The cells of a workbook's first sheet: shared, inline and formula strings, numbers as they are written."""
+    # Places and names of the public format.
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    told = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = [told(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        sheet = ElementTree.fromstring(z.read(min(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))))
+    for row in sheet.iter(f"{space}row"):
+        cells: list[str] = []
+        for c in row.iter(f"{space}c"):
+            letters = re.match("[A-Z]*", c.get("r", ""))[0]
+            at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+            value = c.findtext(f"{space}v") or ""
+            cells += [""] * (at - len(cells)) + [shared[int(value)] if c.get("t") == "s" else told(c) if c.get("t") == "inlineStr" else value]
+        yield cells
 
 
 def read_json_map(spark: SparkSession, path: str, value: str | T.DataType, key: str = "key", name: str = "value") -> DataFrame:

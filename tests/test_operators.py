@@ -190,3 +190,16 @@ def test_validator_names_the_least_links(spark):
     assert report["duplicate_links"]["examples"] == [f"https://maithilijindabaad.com/?p={i}" for i in range(4)] and report["duplicate_texts"]["affected"] == 1
     assert report["url_format"]["affected"] == 2 and report["required_columns"]["examples"] == []
     assert validation.validation_report(spark.createDataFrame([], "article_text string"), validation.ValidationProfile()).where("check_no = 1").first()["examples"] == ["article_language", "article_link"]
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f"""<worksheet {space}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b &amp; c</t></is></c><c r="C1" t="str"><v>n</v></c></row>
+<row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>1.50</v></c></row><row><c r="B3" t="s"><v>1</v></c></row></sheetData></worksheet>"""
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>a</t></si><si><r><t>क</t></r><r><t> x</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    got = readers.read_excel(spark, f"file://{tmp_path}/book.xlsx")
+    assert got.columns == ["a", "b & c", "n"] and [tuple(r) for r in got.collect()] == [("क x", "", "1.50"), ("", "क x", "")]
