@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import addresses as U
 from ..functions import text as X
 from ..schemas import ALIASES, ARTICLE_COLUMNS, SCORES
 
@@ -32,6 +33,15 @@ def resolve_aliases(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> D
     return df.withColumnsRenamed({k: v for k, v in found.items() if k})
 
 
+def with_site(df: DataFrame, url: str, languages: dict[str, str], default: str = "") -> DataFrame:
+    """Adds website, the address's host, and language, that of the first site in ``languages`` that the host is or belongs to."""
+    host = U.netloc(url)
+    language = F.lit(default)
+    for site, name in reversed(languages.items()):
+        language = F.when((host == site) | F.endswith(host, F.lit("." + site)), name).otherwise(language)
+    return df.withColumn("website", host).withColumn("language", language)
+
+
 def column_difference(df: DataFrame, expected: Sequence[str]) -> tuple[list[str], list[str]]:
     """Missing and extra columns, sorted."""
     return sorted(set(expected) - set(df.columns)), sorted(set(df.columns) - set(expected))

@@ -138,6 +138,14 @@ def canonical_columns(spark, d):
     return tables.normalize_columns(docs, S.DATASETS["maithili_1"].renames)
 
 
+S_HOST = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
+
+
+@query(f"SELECT page_id, {S_HOST} AS website, CASE WHEN ends_with('.' || {S_HOST}, '.example.net') THEN 'Bhojpuri' WHEN ends_with('.' || {S_HOST}, '.example.org') THEN 'Maithili' ELSE 'Hindi' END AS language FROM pages")
+def site_columns(spark, d):
+    return tables.with_site(table(spark, d, "pages").select("page_id", "url"), "url", {"example.net": "Bhojpuri", "example.org": "Maithili"}, "Hindi").drop("url")
+
+
 @query("SELECT text AS article_text, lang AS headline, source AS summary FROM documents")
 def alias_columns(spark, d):
     docs = table(spark, d, "documents").select(F.col("text").alias(" Body"), F.col("lang").alias("TITLE"), F.col("source").alias("gold_summary"))
