@@ -1,12 +1,23 @@
-"""What the operators share: tables, scratch tables and whitespace-free helpers."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.tables import key_bounds, part_of
+from ..scratch import discard, materialize, scratch_path
+
+__all__ = ["discard", "in_arrow", "key_bounds", "materialize", "part_of", "pick", "runs", "scratch_path", "shuffle_width", "table"]
+
+#: Bytes in an Arrow batch that goes to a Python worker, about: long texts make short batches.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,39 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sievestone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/sievestone/{label}-{uuid.uuid4().hex}"
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, so that extra columns of the input never clash with ours."""
+    return df.select(*[df[n] for n in names])
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
-    every later use sees the same rows in the same files.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _give_back() -> None:
+    """Return a worker's free memory to the machine, as it waits for other tasks with all that it ever took."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes and not in rows alone, by a setting of the session."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input never clash with ours."""
-    return df.select(*[df[n] for n in names])
+def runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows (first, behind the last) of about ``most`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b

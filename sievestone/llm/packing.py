@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, table
+from .common import in_arrow, materialize, pick, table
 from .tokens import default_path, encoder
 
 WINDOW = 2048
@@ -32,6 +32,8 @@ OPEN = 64
 FAN_IN = 16
 #: A rest isn't cut to top up a window by fewer tokens than this.
 LEAST_CUT = 8
+#: Distinct pieces of text that a worker keeps where memory is short.
+LEAN_PIECES = 100_000
 #: Ids in an Arrow batch that the packer emits.
 BATCH_IDS = 1 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, round int, still_open boolean, ids array<int>"
@@ -112,14 +114,14 @@ class _Rows:
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "round", "still_open", "ids"])
 
 
-def _first_round(vocabulary: str, end_id: int, drops_blanks: bool, window: int, most_open: int):
+def _first_round(vocabulary: str, end_id: int, drops_blanks: bool, plain_specials: bool, window: int, most_open: int, lean: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary if "/" in vocabulary else default_path(vocabulary), drops_blanks)
+        enc = encoder(vocabulary if "/" in vocabulary else default_path(vocabulary), drops_blanks, plain_specials, LEAN_PIECES if lean else None)
         rows = _Rows(TaskContext.get().partitionId() << 32, 0)
         packer = Packer(window, most_open, rows.add)
         for batch in batches:
             keys, row = batch.column(0).to_pylist(), 0
-            for n, ids, lengths in enc.encode(batch.column(1).to_pylist()):
+            for n, ids, lengths in enc.encode(batch.column(1)):
                 ends = np.cumsum(lengths)
                 for doc, b, length in zip(keys[row : row + n], ends.tolist(), lengths.tolist(), strict=True):
                     own = np.append(ids[b - length : b], np.int32(end_id))
@@ -131,6 +133,8 @@ def _first_round(vocabulary: str, end_id: int, drops_blanks: bool, window: int,
             rows.add(pieces, True)
         if rows.rows:
             yield rows.batch()
+        if lean:
+            enc.forget()
 
     return pack
 
@@ -158,18 +162,22 @@ def _merge_round(turn: int, window: int, last: bool):
     return pack
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, drops_blanks: bool = True, window: int = WINDOW, most_open: int = OPEN) -> DataFrame:
-    """Pieces of token sequences of at most ``window`` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, drops_blanks: bool = True, window: int = WINDOW, most_open: int = OPEN, plain_specials: bool = False, lean: bool = False) -> DataFrame:
+    """Pieces of token sequences of at most ``window`` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+
+    ``plain_specials``: strings of special tokens in a text are ordinary text.
+    ``lean``: a worker keeps ``LEAN_PIECES`` of text and forgets them after each partition, which takes time and frees memory.
+    """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     parts = max(1, rows.rdd.getNumPartitions())
-    now = materialize(rows.mapInArrow(_first_round(vocabulary, end_id, drops_blanks, window, most_open), SCHEMA), "packed", "snappy")
+    now = materialize(in_arrow(rows, _first_round(vocabulary, end_id, drops_blanks, plain_specials, window, most_open, lean), SCHEMA), "packed", "snappy")
     done = now.where("NOT still_open")
     turn = 0
     while True:
         parts, turn = -(-parts // FAN_IN), turn + 1
         left = now.where("still_open").withColumn("_to", F.shiftright(F.col("sequence_id").bitwiseAND(F.lit((1 << 56) - 1)), 32) % parts)
-        dealt = left.repartitionById(parts, F.col("_to").cast("int")) if hasattr(left, "repartitionById") else left.repartition(parts, "_to")
-        now = materialize(dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_merge_round(turn, window, parts == 1), SCHEMA), "packed", "snappy")
+        dealt = left.repartitionById(parts, F.col("_to").cast("int"))
+        now = materialize(in_arrow(dealt.select("doc_id", "start", "doc_tokens", "ids"), _merge_round(turn, window, parts == 1), SCHEMA), "packed", "snappy")
         done = done.union(now.where("NOT still_open"))
         if parts == 1:
             return done.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
@@ -188,4 +196,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"))
     schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
-    return pieces.mapInArrow(_digests, schema).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return in_arrow(pieces, _digests, schema).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, scratch_path, shuffle_width, table
+from .common import in_arrow, key_bounds, part_of, pick, scratch_path, shuffle_width, table
 from .tokens import default_path, encoder
 
 ROWS_INDEXED = 1000
@@ -30,18 +30,19 @@ ORC = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.s
 SCHEMA = "doc_id bigint, shard int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, drops_blanks: bool = False) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, drops_blanks: bool = False, plain_specials: bool = False) -> None:
     """Write ``docs`` (doc_id, text) as token ids to ORC files under ``path``, in ascending doc_id order.
 
     ``vocabulary`` names a public tokenizer or is a path of a tokenizer file.
+    ``plain_specials``: strings of special tokens in a text are ordinary text.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary if "/" in vocabulary else default_path(vocabulary), drops_blanks)
+        enc = encoder(vocabulary if "/" in vocabulary else default_path(vocabulary), drops_blanks, plain_specials)
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, row = batch.column(0), 0
-            for rows, ids, lengths in enc.encode(batch.column(1).to_pylist()):
+            for rows, ids, lengths in enc.encode(batch.column(1)):
                 ends = np.cumsum(lengths + 1)
                 out = np.insert(ids, np.cumsum(lengths), end_id).astype(np.int32)
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
@@ -59,8 +60,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
                 start += int(ends[-1])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(encode, SCHEMA).write.options(**ORC).orc(path)
+    # The ranges come from the ids alone, so that texts are read and shuffled once.
+    bounds = key_bounds(rows.select("doc_id"), "doc_id", shuffle_width(docs.sparkSession))
+    ordered = rows.repartitionById(len(bounds) + 1, part_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id")
+    in_arrow(ordered, encode, SCHEMA).write.options(**ORC).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -94,5 +97,5 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path)
     files = read_token_files(spark, path)
-    digests = files.select("doc_id", "shard", "local_start", "ids").mapInArrow(_digests, "doc_id bigint, shard int, local_start bigint, n_tokens bigint, ids_crc32 bigint")
+    digests = in_arrow(files.select("doc_id", "shard", "local_start", "ids"), _digests, "doc_id bigint, shard int, local_start bigint, n_tokens bigint, ids_crc32 bigint")
     return with_starts(digests, files).select("doc_id", "start", "n_tokens", "ids_crc32")
