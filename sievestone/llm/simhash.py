@@ -11,26 +11,23 @@ Copies share a fingerprint and are searched as one. Up to ``BUCKET_LIMIT``
 fingerprints in a bucket are joined pair by pair; up to ``GROUP_LIMIT`` (a few
 hundred kB) are compared in one task that emits a spanning forest of their
 links, never all pairs; the members of larger buckets meet exactly, in linear
-work, at the fingerprints near them (see ``_through_hubs``) or, where the
-radius is too wide for that, in blocks of bounded size.
+work, at the fingerprints near them (see ``_through_hubs``).
 
 Defined results: null text counts as empty; no word gives fingerprint zero,
 which links like any other; fewer words than a shingle give one shingle of all
 of them; rows repeated under one id get their own fingerprint; a null id never
-names a component unless it is alone; an empty table gives an empty result.
+names a component unless it is alone; an empty table gives an empty result; a
+radius over ``HUB_RADIUS`` is refused, as its tables and hubs grow too many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, table
@@ -39,18 +36,8 @@ from .components import components
 BITS = 64
 #: Fingerprints in a bucket up to which its pairs are joined, and up to which one task compares them.
 BUCKET_LIMIT, GROUP_LIMIT = 200, 20_000
-#: Texts that share a shingle up to which near copies are sought in pairs, and up to which one task compares them.
-COPIES_BUCKET_LIMIT, COPIES_BLOCK_LIMIT = 64, 2000
-#: One text in so many is sampled for common shingles; at most so many of these are told apart.
-SAMPLED, COMMON_SHINGLES = 64, 10_000
-#: Texts whose shingles a task holds at once, the factor of their hashes, and what comes of them.
-TEXTS_AT_ONCE, MIX, SETS = 1000, np.uint64(0x9E3779B97F4A7C15), "x bigint, m int, s array<bigint>"
-#: Ids up to which the texts they name are found without a shuffle of all texts.
-BROADCAST_LIMIT = 1_000_000
-#: Radius up to which hubs take less work than comparing all members of a bucket.
+#: Radius up to which masks and hubs stay few.
 HUB_RADIUS = 3
-#: Part of all distinct shingles of two near copies that both have.
-SIMILARITY = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,12 +70,20 @@ def _shingle(words_: str, at: Column, size: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the 64-bit SimHash of every row's whole text."""
-    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_w"))
-    spans = rows.select("_row", "_key", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
+    """(key, fp): the 64-bit SimHash of every row's whole text.
+
+    Rows are told apart by key and content, which a recomputed task finds again;
+    where they repeat, all counts are multiples, the majorities the same, and
+    the multiple says how many rows there are.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = pick(docs, key, text).select(F.col(key).alias("_key"), F.xxhash64(body).alias("_a"), F.xxhash64(F.lit("b"), body).alias("_b"), words(F.col(text)).alias("_w"))
+    spans = rows.select("_key", "_a", "_b", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))).alias("_i"))
     hashed = F.when(F.size("_w") > 0, F.xxhash64(_shingle("_w", F.col("_i"), shingle))).otherwise(F.lit(0).cast("bigint"))
-    counted = spans.select("_row", "_key", hashed.alias("_h")).groupBy("_row", "_key").agg(F.count("*").alias("_n"), *_bit_sums(F.col("_h"), "s"))
-    return counted.select(F.col("_key").alias(key), _majority([f"_s{j}" for j in range(32)], "_n").alias("fp"))
+    spans = spans.select("_key", "_a", "_b", hashed.alias("_h"), (F.col("_i") == 0).alias("_first"))
+    counted = spans.groupBy("_key", "_a", "_b").agg(F.count("*").alias("_n"), F.count_if("_first").alias("_rows"), *_bit_sums(F.col("_h"), "s"))
+    found = counted.select("_key", "_rows", _majority([f"_s{j}" for j in range(32)], "_n").alias("fp"))
+    return found.select(F.col("_key").alias(key), "fp", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_r")).drop("_r")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -124,61 +119,50 @@ def _through_hubs(points: DataFrame, radius: int) -> DataFrame:
     return around(radius - near).join(hubs, "z").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def _forest(radius: int, check_radius: int):
-    """For the points of one bucket: the shortest links, by check, that connect what all its links connect."""
+def _forest(radius: int):
+    """For the points of one bucket: the shortest links that connect what all its links connect."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, fp, check = (rows[c].to_numpy() for c in ("id", "fp", "check"))
+        fp = np.sort(rows["fp"].to_numpy())
         far = BITS + 1
-        length, near = np.full(len(ids), far), np.zeros(len(ids), dtype=np.int64)
-        todo = np.ones(len(ids), dtype=bool)
+        length, near = np.full(len(fp), far), np.zeros(len(fp), dtype=np.int64)
+        todo = np.ones(len(fp), dtype=bool)
         edges, at = [], 0
-        for _ in range(len(ids) - 1):
+        for _ in range(len(fp) - 1):
             todo[at] = False
-            d = np.bitwise_count((check ^ check[at]).view(np.uint64)).astype(np.int64)
-            d[(d > check_radius) | (np.bitwise_count((fp ^ fp[at]).view(np.uint64)) > radius)] = far
+            d = np.bitwise_count((fp ^ fp[at]).view(np.uint64)).astype(np.int64)
+            d[d > radius] = far
             closer = todo & (d < length)
             length[closer], near[closer] = d[closer], at
             at = int(np.where(todo, length, far + 1).argmin())
             if length[at] < far:
-                edges.append((ids[at], ids[near[at]]))
+                edges.append((fp[at], fp[near[at]]))
         return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["u", "v"])
 
     return run
 
 
-def links(points: DataFrame, radius: int, check_radius: int = BITS, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Edges (u, v) between ids of ``points`` (id, fp, check) with the components of all links.
-
-    Two points link if fp differs in at most ``radius`` bits and check in at most ``check_radius``.
-    """
+def links(points: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Edges (u, v) between the distinct ``points`` (fp) with the components of all pairs within ``radius``."""
+    if radius > HUB_RADIUS:
+        raise ValueError(f"the radius goes up to {HUB_RADIUS}")
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("kept")) for t, m in enumerate(covering_masks(radius))]
-    keyed = points.select("id", "fp", "check", F.inline(F.array(*tables)))
+    keyed = points.select("fp", F.inline(F.array(*tables)))
     sizes = keyed.groupBy("t", "kept").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keyed.join(sizes, ["t", "kept"]), "buckets")
     light = shared.where(F.col("n") <= bucket_limit)
-    a, b = (light.select("t", "kept", F.col("id").alias(i), F.col("fp").alias(f), F.col("check").alias(c)) for i, f, c in (("u", "f", "c"), ("v", "g", "d")))
-    edges = a.join(b, ["t", "kept"]).where(f"u < v AND bit_count(f ^ g) <= {radius} AND bit_count(c ^ d) <= {check_radius}").select("u", "v")
+    a, b = (light.select("t", "kept", F.col("fp").alias(x)) for x in "uv")
+    edges = a.join(b, ["t", "kept"]).where(f"u < v AND bit_count(u ^ v) <= {radius}").select("u", "v")
     large = shared.where(F.col("n") > bucket_limit)
     if large.isEmpty():
         return edges
-    forest = _forest(radius, check_radius)
     middling = large.where(F.col("n") <= group_limit)
-    edges = edges.union(middling.groupBy("t", "kept").applyInPandas(forest, "u bigint, v bigint"))
+    edges = edges.union(middling.groupBy("t", "kept").applyInPandas(_forest(radius), "u bigint, v bigint"))
     heavy = large.where(F.col("n") > group_limit)
-    if heavy.isEmpty():
-        return edges
-    if check_radius >= BITS and radius <= HUB_RADIUS:
-        return edges.union(_through_hubs(heavy.select("fp").distinct(), radius))
-    # Dealt into halves of the limit, every two of which meet in a task.
-    halves = F.ceil(F.col("n") * 2 / group_limit).cast("int")
-    dealt = heavy.withColumn("halves", halves).withColumn("p", F.pmod(F.xxhash64("id"), F.col("halves")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("q"))
-    dealt = dealt.select("t", "kept", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "id", "fp", "check")
-    return edges.union(dealt.groupBy("t", "kept", "low", "high").applyInPandas(forest, "u bigint, v bigint"))
+    return edges if heavy.isEmpty() else edges.union(_through_hubs(heavy.select("fp").distinct(), radius))
 
 
-def _named_components(marked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def named_components(marked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(id, component_id): the least key of each id's component; ``marked`` has key and id."""
     classes = marked.groupBy("id").agg(F.min(key).alias("least"))
     rooted = components(edges)
@@ -192,147 +176,10 @@ def _named_components(marked: DataFrame, edges: DataFrame, key: str) -> DataFram
 def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", bucket_limit: int = BUCKET_LIMIT, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(key, fingerprint, component_id) for every row."""
     marked = materialize(fingerprints(docs, shingle, key, text).withColumnRenamed("fp", "id"), "fingerprints")
-    points = marked.select("id").distinct().select("id", F.col("id").alias("fp"), F.lit(0).cast("bigint").alias("check"))
-    named = _named_components(marked, links(points, radius, BITS, bucket_limit, group_limit), key)
+    points = marked.select(F.col("id").alias("fp")).distinct()
+    named = named_components(marked, links(points, radius, bucket_limit, group_limit), key)
     return marked.join(named, "id").select(key, F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(texts: pa.Array, size: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many distinct shingles each text has, and their 64-bit hashes text by text in order, the ``common`` ones last.
-
-    Words are those of ``words``; the hash of a shingle is a polynomial of its words' hashes and how many they are.
-    """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    word, row = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-    real = pc.not_equal(word, "")
-    word, row = word.filter(real).dictionary_encode(), row[real.to_numpy(zero_copy_only=False)]
-    hashes = pd.util.hash_array(word.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    each = np.bincount(row, minlength=len(texts))
-    # One word of hash zero after every text's end for each that its first shingle lacks.
-    wide = np.maximum(each, size)
-    first = np.cumsum(wide) - wide
-    w = np.zeros(int(wide.sum()), dtype=np.uint64)
-    w[first[row] + np.arange(len(row)) - (np.cumsum(each) - each)[row]] = hashes[word.indices.to_numpy()]
-    n = wide - size + 1
-    row = np.repeat(np.arange(len(texts)), n)
-    at = first[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    h = np.minimum(each, size).astype(np.uint64)[row]
-    for j in range(size):
-        h = h * MIX + w[at + j]
-    h = h.view(np.int64)
-    order = np.lexsort((h, np.isin(h, common), row))
-    h, row = h[order], row[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
-    return np.bincount(row[new], minlength=len(texts)), h[new]
-
-
-def _shingled(size: int, similarity: float = 0, common: np.ndarray | None = None):
-    """(x, text) to (x, m, s): the size of the set of shingles, and the set; or as many of its first members that it shares one with each set of that similarity."""
-    late = np.array([], dtype=np.int64) if common is None else common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(i, TEXTS_AT_ONCE)
-                n, flat = _sets(part.column("text"), size, late)
-                # Two such sets share at least that part of each; the margin is for rounding.
-                most = n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1 if similarity else n
-                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                ends = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("x"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, flat[at < np.repeat(most, n)])], names=["x", "m", "s"])
-
-    return run
-
-
-def _similar_forest(similarity: float):
-    """For the sets of one bucket (x, root, s): similar pairs that connect what all of them connect beyond equal roots."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(n=rows["s"].map(len)).sort_values(["n", "x"])
-        ids, n = rows["x"].to_numpy(), rows["n"].to_numpy()
-        part = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
-        start = np.concatenate([[0], np.cumsum(n)])
-        names, code = np.unique(np.concatenate(rows["s"].to_list()), return_inverse=True)
-        own, edges = np.zeros(len(names), dtype=bool), []
-        for i in range(len(ids) - 1):
-            # Sets that are longer by more can't be similar.
-            end = int(np.searchsorted(n, n[i] / similarity + 1e-6, "right"))
-            if end <= i + 1 or (part[i + 1 : end] == part[i]).all():
-                continue
-            own[code[start[i] : start[i + 1]]] = True
-            shared = np.add.reduceat(own[code[start[i + 1] : start[end]]].astype(np.int64), start[i + 1 : end] - start[i + 1])
-            own[code[start[i] : start[i + 1]]] = False
-            for j in np.flatnonzero(shared >= similarity * (n[i] + n[i + 1 : end] - shared)) + i + 1:
-                if part[j] != part[i]:
-                    edges.append((ids[i], ids[j]))
-                    part[part == part[j]] = part[i]
-        return pd.DataFrame(np.array(edges, dtype=np.int64).reshape(-1, 2), columns=["u", "v"])
-
-    return run
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (u, v) whose sets have the similarity."""
-    both = pairs.join(sets.select(F.col("x").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("x").alias("v"), F.col("s").alias("b")), "v")
-    sizes = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
-    return sizes.where(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
-
-
-def _common(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of many texts, by a sample of the texts; they only order the search, so that missing some costs time alone."""
-    sampled = texts.where(F.pmod("x", F.lit(SAMPLED)) == 0).mapInArrow(_shingled(shingle), SETS).select(F.explode("s").alias("h"))
-    rows = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).collect()
-    return np.array([r["h"] for r in rows], dtype=np.int64)
-
-
-def _similar_links(texts: DataFrame, shingle: int, similarity: float, pair_limit: int, block_limit: int) -> DataFrame:
-    """Edges (u, v) between ids of ``texts`` (x, text) with the components of all pairs of that similarity."""
-    prefixes = texts.mapInArrow(_shingled(shingle, similarity, _common(texts, shingle)), SETS).dropDuplicates(["x"])
-    bucket = Window.partitionBy("h")
-    shared = prefixes.select("x", "m", F.explode("s").alias("h")).select("x", "m", "h", F.count("*").over(bucket).alias("n"), F.min(F.struct("x", "m")).over(bucket).alias("hub"))
-    shared = materialize(shared.where("n > 1"), "buckets")
-    light, heavy = shared.where(F.col("n") <= pair_limit), shared.where(F.col("n") > pair_limit)
-    u, v = (light.select("h", F.col("x").alias(x), F.col("m").alias(m)) for x, m in (("u", "a"), ("v", "b")))
-    # In large buckets all meet the least first; what that leaves out, the tasks below compare.
-    pairs = u.join(v, "h").where("u < v").select("u", "a", "v", "b").union(heavy.where("x <> hub.x").select("hub.x", "hub.m", "x", "m"))
-    # Members behind the prefix that ends first are the only ones that two sets can share besides those found.
-    most = F.col("k") + F.ceil(F.greatest("a", "b") * similarity - 1e-9) - 1
-    counted = pairs.where(F.least("a", "b") >= F.greatest("a", "b") * similarity - 1e-6).groupBy("u", "a", "v", "b").agg(F.count("*").alias("k"))
-    pairs = materialize(counted.where(most >= (F.col("a") + F.col("b")) * (similarity / (1 + similarity)) - 1e-6).select("u", "v"), "candidates")
-    met = materialize(pairs.select(F.col("u").alias("x")).union(pairs.select("v")).union(heavy.select("x")).distinct(), "met")
-    few = met.count() <= BROADCAST_LIMIT
-    found = texts.join(F.broadcast(met) if few else met, "x", "left_semi")
-    sets = materialize(found.mapInArrow(_shingled(shingle), SETS).dropDuplicates(["x"]).select("x", "s"), "shingles")
-    edges = materialize(_similar(pairs, sets, similarity), "similar")
-    if heavy.isEmpty():
-        return edges
-    rooted = components(edges)
-    heavy = heavy.join(rooted, heavy["x"] == rooted["node"], "left").select("h", "x", "n", F.coalesce("root", "x").alias("root"))
-    heavy = materialize(heavy, "heavy")
-    apart = heavy.groupBy("h").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("h")
-    # Dealt into halves of the limit, every two of which meet in a task.
-    halves = F.ceil(F.col("n") * 2 / block_limit).cast("int")
-    dealt = heavy.join(apart, "h").withColumn("halves", F.when(F.col("n") > block_limit, halves).otherwise(1)).withColumn("p", F.pmod(F.xxhash64("x"), F.col("halves")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("q")).select("h", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "x", "root")
-    return edges.union(dealt.join(sets, "x").groupBy("h", "low", "high").applyInPandas(_similar_forest(similarity), "u bigint, v bigint"))
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", pair_limit: int = COPIES_BUCKET_LIMIT, block_limit: int = COPIES_BLOCK_LIMIT) -> DataFrame:
-    """(key, component_id): groups of near copies, linked by a Jaccard similarity of ``similarity`` of their distinct shingles.
-
-    All pairs at that similarity count (but for collisions of 64-bit hashes).
-    Candidates share one of the first members of their sets in one order of all
-    shingles (prefix filtering, Chaudhuri et al., "A Primitive Operator for
-    Similarity Joins", 2006): the part of a set that can't do without. Their sets
-    are compared. Of a bucket of more than ``pair_limit`` texts all are compared
-    with one; where that doesn't connect them all, tasks of up to ``block_limit``
-    compare the rest and emit a forest of similar pairs.
-    """
-    rows = pick(docs, key, text).select(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("id"), F.col(text).alias("text"))
-    marked = materialize(rows.select(key, "id"), "texts")
-    named = _named_components(marked, _similar_links(rows.select(F.col("id").alias("x"), "text"), shingle, similarity, pair_limit, block_limit), key)
-    return marked.join(named, "id").select(key, "component_id")
-
-
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
