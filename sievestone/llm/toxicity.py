@@ -6,7 +6,8 @@ its most telling n-gram). The network reads windows of WINDOW words that
 overlap by WINDOW - STRIDE; a document's score is its highest window's.
 
 Learning, on the driver, from at most ``LEARN_ROWS`` labelled rows of each
-label: one half of them gives vocabulary and evidence, the other trains the
+label (and about ``quality.LEARN_BYTES`` bytes of their texts), all their
+windows and all words that two of them have: one half of them gives vocabulary and evidence, the other trains the
 network by backpropagation through time on the documents' labels (a document
 is toxic if any window is: noisy-or), so evidence never scores its own source.
 
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import in_arrow, pick, table
 from .langid import remainder
 from .quality import labelled_texts
 
 LEARN_ROWS = 2500
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 12, 4, 4, 8
-VOCABULARY, GRAM_BITS, CHAR_BITS = 20_000, 18, 12
-EPOCHS, DOCS_A_BATCH, WINDOWS_A_DOC = 5, 48, 10
+GRAM_BITS, CHAR_BITS = 18, 12
+EPOCHS, DOCS_A_BATCH = 5, 48
 #: Words in one worker's table of input projections; it starts anew beyond that.
 KEPT_WORDS = 200_000
 #: Characters looked up at a time, and windows run at a time.
@@ -86,7 +87,7 @@ class Inputs:
         for text, label in zip(texts, labels, strict=True):
             held.append({normal(p) for p in text.split()})
             seen[int(label)].update(held[-1])
-        common = [w for w, _ in sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0])) if seen[0][w] + seen[1][w] > 1][:VOCABULARY]
+        common = [w for w, _ in sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0])) if seen[0][w] + seen[1][w] > 1]
         self.number = {w: i + 1 for i, w in enumerate(common)}
         counts = [np.array([0, *(s[w] for w in common)], dtype=np.float64) for s in seen]
         self.word_evidence = _evidence(counts[1], counts[0], n_toxic, n_clean)
@@ -283,43 +284,61 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float, seed: int = 11
     order = sorted({p for d in docs for p in d})
     parts = inputs.parts([normal(p) for p in order])
     row = {p: i for i, p in enumerate(order)}
-    telling = parts[4].max(1)
     windows: list[np.ndarray] = []
     for d in docs:
-        n = np.array([row[p] + 1 for p in d], dtype=np.int64)
+        n = np.array([row[p] + 1 for p in d], dtype=np.int32)
         at = window_starts(len(n))[:, None] + np.arange(WINDOW)
-        idx = np.where(at < len(n), np.append(n, 0)[np.minimum(at, len(n))], 0)
-        if len(idx) > WINDOWS_A_DOC:  # the most telling, and some of the rest
-            by = np.argsort(-np.append(-9, telling)[idx].max(1), kind="stable")
-            idx = idx[np.concatenate([by[: WINDOWS_A_DOC // 2], rng.choice(by[WINDOWS_A_DOC // 2 :], WINDOWS_A_DOC - WINDOWS_A_DOC // 2, replace=False)])]
-        windows.append(idx)
+        windows.append(np.where(at < len(n), np.append(n, 0)[np.minimum(at, len(n))], 0).astype(np.int32))
     tables = {"word": inputs.word_table, "char": inputs.char_table}
     adam, slow = _Adam(0.01), _Adam(0.01)
     usable = [i for i, d in enumerate(docs) if d]
     for _ in range(max(EPOCHS, min(60, 3000 // max(1, len(usable))))):
         for batch in np.array_split(rng.permutation(usable), -(-len(usable) // DOCS_A_BATCH)):
-            used, idx = np.unique(np.concatenate([windows[i] for i in batch]), return_inverse=True)
-            idx = idx.reshape(-1, WINDOW)
-            mask = (used[idx] > 0).astype(np.float32)
-            real = np.maximum(used - 1, 0)
-            own = _subset(parts, real)
-            x = inputs.vectors(own)
-            tapes = {"f": [], "b": []}
-            logit, kept = network.forward(network.project(x), idx, mask, tapes)
             doc = np.repeat(np.arange(len(batch)), [len(windows[i]) for i in batch])
-            total = np.bincount(doc, weights=np.logaddexp(0, logit), minlength=len(batch))
-            to = np.where(y[batch] == 1, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
-            grad, d_x = network.backward(kept, (to[doc] * _sigmoid(logit) / len(batch)).astype(np.float32), x, idx, mask, tapes)
+            grad, d_tables = _batch_gradients(inputs, network, parts, np.concatenate([windows[i] for i in batch]), doc, y[batch])
             adam.step(network.p, grad)
-            d_word, d_char = np.zeros_like(inputs.word_table), np.zeros_like(inputs.char_table)
-            np.add.at(d_word, own[0], d_x[:, :WORD_DIM])
-            np.add.at(d_char, own[1], np.repeat(d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / own[3][:, None], own[3].astype(int), axis=0))
-            slow.step(tables, {"word": d_word, "char": d_char})
+            slow.step(tables, d_tables)
     scorer = Scorer(inputs, network)
     _place_cut(scorer, docs, y, toxic_share)
     return scorer
 
 
+def _batch_gradients(inputs: Inputs, network: Network, parts, windows: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[dict, dict]:
+    """Gradients of the mean noisy-or loss of documents with labels ``y``; window i belongs to ``doc[i]``.
+
+    Windows are run ``BLOCK`` at a time, so that a document of any length fits;
+    with more than one block the logits come from a pass of their own.
+    """
+
+    def run(idx: np.ndarray, tapes):
+        used, idx = np.unique(idx, return_inverse=True)
+        idx = idx.reshape(-1, WINDOW)
+        mask = (used[idx] > 0).astype(np.float32)
+        own = _subset(parts, np.maximum(used - 1, 0))
+        x = inputs.vectors(own)
+        return own, x, idx, mask, network.forward(network.project(x), idx, mask, tapes)
+
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(windows), BLOCK)]
+    tapes = {"f": [], "b": []}
+    first = run(windows[blocks[0]], tapes if len(blocks) == 1 else None)
+    logit = np.concatenate([first[4][0], *(run(windows[b], None)[4][0] for b in blocks[1:])])
+    total = np.bincount(doc, weights=np.logaddexp(0, logit), minlength=len(y))
+    to = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
+    d_logit = (to[doc] * _sigmoid(logit) / len(y)).astype(np.float32)
+    grad: dict = {}
+    d_word, d_char = np.zeros_like(inputs.word_table), np.zeros_like(inputs.char_table)
+    for b in blocks:
+        if len(blocks) > 1:
+            tapes = {"f": [], "b": []}
+            first = run(windows[b], tapes)
+        own, x, idx, mask, (_, kept) = first
+        g, d_x = network.backward(kept, d_logit[b], x, idx, mask, tapes)
+        grad = {k: grad.get(k, 0) + v for k, v in g.items()}
+        np.add.at(d_word, own[0], d_x[:, :WORD_DIM])
+        np.add.at(d_char, own[1], np.repeat(d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / own[3][:, None], own[3].astype(int), axis=0))
+    return grad, {"word": d_word, "char": d_char}
+
+
 def _subset(parts, rows: np.ndarray):
     """``parts`` for some words only."""
     ids, chars, first, each, evidence = parts
@@ -362,7 +381,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, *kept: str) -> DataFr
 
     kinds = dict(docs.dtypes)
     columns = pick(docs, *dict.fromkeys([*kept, "text"]))
-    return columns.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "score double", "predicted int"]))
+    return in_arrow(columns, score, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "score double", "predicted int"]))
 
 
 def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
