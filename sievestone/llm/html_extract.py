@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import boosting
-from .common import pick, table
+from .common import in_arrow, pick, table
 from .dom import Page, blocks, parse
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 800
 #: Nodes that are scored at a time.
 NODES_A_BATCH = 20_000
-TAGS = "nav header footer aside form article main section div p h1 h2 h3 ul ol li table blockquote pre figure figcaption body button".split()
+TAGS = "nav header footer aside form article main section div p h1 h2 h3 ul ol li table blockquote pre figure figcaption body button td tr".split()
 # Words in class, id and role attributes that tell parts of a page, by part.
 TOKENS = {
     "main": "article content post entry story main body text page-content prose",
@@ -40,7 +40,7 @@ TOKENS = {
     "side": "sidebar aside widget related recommend recommended more-stories trending popular complementary rail secondary",
     "talk": "comment comments reply replies discussion respond disqus reviews feedback",
     "ads": "ad ads advert advertisement sponsor sponsored promo promoted adsense adbox commercial outbrain taboola",
-    "note": "cookie cookies notice consent alert gdpr newsletter subscribe popup modal overlay warning paywall toast signup",
+    "note": "cookie cookies notice consent alert gdpr newsletter subscribe popup modal overlay warning paywall toast signup hidden",
     "ask": "form search login contact-form searchform",
     "share": "share social sharing follow tags byline meta print",
 }
@@ -155,7 +155,8 @@ class _Author:
             return f"<{tag}>{inner}</{tag}>"
         word = r.choice(TOKENS[part].split())
         name = r.choice((word, word, f"{word}-{r.choice(('box', 'area', 'inner', 'x1', 'list'))}", f"{r.choice(('site', 'c', 'block', 'page'))}-{word}", f"{word} {r.choice(('wide', 'clearfix', 'col-4'))}"))
-        return f'<{tag} {r.choice(("class", "class", "id"))}="{name}">{inner}</{tag}>'
+        gone = " hidden" if part == "note" and r.random() < 0.2 else ""
+        return f'<{tag} {r.choice(("class", "class", "id"))}="{name}"{gone}>{inner}</{tag}>'
 
     def links(self, low: int = 3, high: int = 9) -> str:
         r = self.r
@@ -215,11 +216,26 @@ class _Author:
         if r.random() < 0.15:
             out.append(self.some(r.choice(("share", "talk", "side"))))
         body = "".join(out)
+        if r.random() < 0.06:  # lines of text without elements of their own
+            lines = "<br><br>".join(self.prose() for _ in range(r.randint(2, 8)))
+            return self.box("main", ("div", "div", "article", "main"), head + lines, 0.2).replace(">", " data-k>", 1)
         if r.random() < 0.2:
             body = f"<section>{body}</section>"
+        if r.random() < 0.05:
+            depth = r.randint(3, 40)
+            body = "<div>" * depth + body + "</div>" * depth
         k = r.random()
         return f"<article>{body}</article>" if k < 0.45 else self.box("main", ("article", "main", "div", "div", "section"), body, 0.2) if k < 0.93 else body
 
+    def columns(self) -> str:
+        """A page laid out by a table, its article in one of the cells."""
+        r = self.r
+        cell = lambda part, inner: f'<td{r.choice(("", f" class={part}", " width=20%", " valign=top"))}>{inner}'
+        sides = [cell(p, self.links() if p == "menu" else self.some(p)) for p in ("menu", "side", "ads") if r.random() < 0.6]
+        sides.insert(r.randint(0, len(sides)), cell(r.choice(("content", "main", "x1")), self.article()))
+        rows = [f"<tr><td colspan={len(sides)}>{self.some('head')}</tr>"] * (r.random() < 0.5) + ["<tr>" + "".join(sides) + "</tr>"] + [f"<tr><td colspan={len(sides)}>{self.some('foot')}</tr>"] * (r.random() < 0.6)
+        return "<table>" + "".join(rows) + "</table>"
+
     def page(self) -> str:
         r = self.r
         parts = [*(p for p, odds in (("note", 0.3), ("head", 0.5), ("menu", 0.7), ("ads", 0.45), ("side", 0.25), ("ask", 0.15)) if r.random() < odds)]
@@ -229,7 +245,7 @@ class _Author:
         r.shuffle(after)
         after += ["foot"] * (r.random() < 0.8)
         body = "".join(map(self.some, parts)), self.article(), "".join(map(self.some, after))
-        inner = "".join(body)
+        inner = "".join(body) if r.random() < 0.92 else self.columns()
         if r.random() < 0.3:
             inner = f"<div{r.choice(('', ' id=page', ' class=wrapper', ' class=container'))}>{inner}</div>"
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{inner}</body></html>"
@@ -290,7 +306,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(extract(batch.column(2).to_pylist(), forest.value), type=pa.string())], names=["page_id", "url", "text"])
 
-    return pick(pages, "page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string")
+    return in_arrow(pick(pages, "page_id", "url", "html"), run, "page_id bigint, url string, text string")
 
 
 def op8_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
