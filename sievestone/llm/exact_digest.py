@@ -6,7 +6,8 @@ normalisation function of its own; its ``reflect`` SQL function calls the ICU
 library that Spark ships for collations, inside the JVM.) Fingerprint: two
 chained XXH64 of the canonical form, 128 bits. Rows are grouped by fingerprint
 and canonical text, so equal hashes are told apart by their bytes; a further
-text under a hash gets a fingerprint with its number after a dash.
+text under a hash gets a fingerprint with its number after a dash. Rows find their
+group again by hash and SHA-256.
 
 Defined results: null text is empty, empty texts form one group; repeated rows
 are ordered by text; null ids come last in descending order; with one row the
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shuffle_width, table
+from .common import key_bounds, materialize, part_of, pick, shuffle_width, table
 
 #: Parts of the id range for each shuffle partition, so that parts spread evenly.
 PARTS_EACH = 4
@@ -43,18 +44,6 @@ def wide_hash(text: Column) -> Column:
     return F.lower(F.concat(part(F.xxhash64(text)), part(F.xxhash64(F.lit("wide"), text))))
 
 
-def _part_of(key: Column, bounds: list) -> Column:
-    """How many of the sorted ``bounds`` are at most ``key``, by blocks and then within the block (null: 0)."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    at_most = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    block = at_most(F.array(*[F.lit(b[0]) for b in blocks]))
-    inner = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block - 1)
-    return F.when(key.isNull() | (block == 0), 0).otherwise((block - 1) * width + at_most(inner))
-
-
 def with_next(rows: DataFrame, key: str, carried: str, alias: str) -> DataFrame:
     """Add the ``carried`` string of the next row in descending order of ``key``; after the last comes the first.
 
@@ -65,16 +54,15 @@ def with_next(rows: DataFrame, key: str, carried: str, alias: str) -> DataFrame:
     """
     ids = rows.select(key)
     parts = PARTS_EACH * shuffle_width(rows.sparkSession)
-    found = ids.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    bounds = sorted(set(found or []))
-    placed = ids.withColumn("_part", _part_of(F.col(key), bounds))
+    bounds = key_bounds(ids, key, parts)
+    placed = ids.withColumn("_part", part_of(F.col(key), bounds))
     heads = sorted(placed.groupBy("_part").agg(F.max(key)).collect())
     if not heads:
         return rows.withColumn(alias, F.col(carried))
     spark = rows.sparkSession
     above = [heads[(i + 1) % len(heads)][0] for i in range(len(heads))]
     copies = spark.createDataFrame([(h[1], a) for h, a in zip(heads, above, strict=True)], f"_head {dict(rows.dtypes)[key]}, _above int")
-    dealt = rows.withColumn("_part", _part_of(F.col(key), bounds)).join(F.broadcast(copies), F.col(key).eqNullSafe(F.col("_head")), "left")
+    dealt = rows.withColumn("_part", part_of(F.col(key), bounds)).join(F.broadcast(copies), F.col(key).eqNullSafe(F.col("_head")), "left")
     dealt = dealt.drop("_head").withColumn("_to", F.explode(F.when(F.col("_above").isNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("copy")))).otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("copy")), F.struct(F.col("_above").alias("p"), F.lit(True).alias("copy"))))))
     dealt = dealt.select(*rows.columns, F.col("_to.p").alias("_part"), F.col("_to.copy").alias("_copy"))
     order = W.partitionBy("_part").orderBy("_copy", F.col(key).desc_nulls_last(), carried)
@@ -103,9 +91,21 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return _named(rows, group_texts(docs, key, text)).drop("bucket", "check")
 
 
+def _name() -> Column:
+    return F.when(F.col("nth") > 0, F.concat_ws("-", "bucket", "nth")).otherwise(F.col("bucket"))
+
+
 def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    name = F.when(F.col("nth") > 0, F.concat_ws("-", "bucket", "nth")).otherwise(F.col("bucket"))
-    return rows.join(groups, ["bucket", "check"]).withColumn("fingerprint", name).drop("nth")
+    return rows.join(groups, ["bucket", "check"]).withColumn("fingerprint", _name()).drop("nth")
+
+
+def _names_of_others(others: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, check, name) for texts (bucket, check) of which the groups needn't have any: numbers go on behind theirs."""
+    known = groups.groupBy("bucket").agg((F.max("nth") + 1).alias("_from"))
+    new = others.distinct().join(groups.select("bucket", "check"), ["bucket", "check"], "left_anti").join(known, "bucket", "left")
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy("check")) - 1
+    new = new.withColumn("nth", rank + F.coalesce("_from", F.lit(0)))
+    return groups.select("bucket", "check", "nth").union(new.select("bucket", "check", "nth")).select("bucket", "check", _name().alias("name"))
 
 
 def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +117,12 @@ def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(rows, "doc_id", "text", "next_text").select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(edited).alias("e"), canonical(F.col("next_text")).alias("x"))
     digests = pairs.select(
         "doc_id", "n_chars", "edited_sha256",
-        wide_hash(F.col("c")).alias("bucket"), F.sha2("c", 256).alias("check"), wide_hash(F.col("e")).alias("edited_fingerprint"),
+        wide_hash(F.col("c")).alias("bucket"), F.sha2("c", 256).alias("check"), wide_hash(F.col("e")).alias("edited_bucket"), F.sha2("e", 256).alias("edited_check"),
         F.expr("c = e").cast("double").alias("near_edited"), F.expr("c = x").cast("double").alias("near_next"),
     )
-    named = _named(materialize(digests, "digests"), group_texts(docs))
+    digests, groups = materialize(digests, "digests"), group_texts(docs)
+    # A name stands for one canonical text, so equal texts and equal names are the same.
+    others = _names_of_others(digests.select(F.col("edited_bucket").alias("bucket"), F.col("edited_check").alias("check")), groups)
+    others = others.select(F.col("bucket").alias("edited_bucket"), F.col("check").alias("edited_check"), F.col("name").alias("edited_fingerprint"))
+    named = _named(digests, groups).join(others, ["edited_bucket", "edited_check"])
     return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size")
