@@ -659,6 +659,19 @@ def generation_metrics(spark, d):
     return jobs.evaluate_generations(pairs.select(F.col("k").alias("row_key"), "ref"), pairs.select(F.col("k").alias("row_key"), F.col("hyp").alias("generated")), "run", "ref")[1]
 
 
+S_WORDS_OF = f"len({s_tokens('hyp')})"
+
+
+@query(f"""WITH one AS ({s_rouge(1)}), two AS ({s_rouge(2)}), b AS (WITH {s_counts(s_intl)}, a AS (SELECT 1 AS k, n, sum(m) AS m, sum(total) AS total, sum(hyp) AS hyp, sum(ref) AS ref FROM o GROUP BY n), l AS (SELECT *, {S_SMOOTHED} FROM a)
+  SELECT any_value({S_BREVITY}) AS bp, CASE WHEN max(m) FILTER (n = 1) > 0 AND min(total) > 0 THEN any_value({S_BREVITY}) * exp(sum(l) / 4) ELSE 0.0::DOUBLE END AS bleu FROM l), {S_PAIRS}
+SELECT 'run' AS run, count(*) AS n, count(*) FILTER ({s_strip('hyp')} = '') AS n_empty, round(avg(({s_strip('hyp')} <> '')::INT), 9) AS valid_rate, round((SELECT avg(f1) FROM one), 9) AS rouge1, round((SELECT avg(f1) FROM two), 9) AS rouge2,
+  round((SELECT bleu FROM b), 9) AS bleu_corpus, round((SELECT bp FROM b), 9) AS brevity_penalty, round(avg({S_WORDS_OF}), 9) AS len_mean, round(median({S_WORDS_OF}::DOUBLE), 9) AS len_median, round(avg(({S_WORDS_OF} > 10)::INT), 9) AS pct_over_10w FROM pairs""")
+def generation_means(spark, d):
+    """What of ``generation_metrics`` no random number is in."""
+    found = generation_metrics(spark, d)
+    return found.select("run", "n", "n_empty", *[F.round(c, 9).alias(c) for c in ("valid_rate", "rouge1", "rouge2", "bleu_corpus", "brevity_penalty", "len_mean", "len_median", "pct_over_10w")])
+
+
 # ---- deduplication, order, sets, splits ----
 
 
@@ -799,13 +812,25 @@ def extract_headline(spark, d):
     return table(spark, d, "pages").select("page_id", H.headline("html").alias("headline"))
 
 
-@query()
+S_MARKUP = s_replace(s_replace("s", "(?s)(?:</p>|<(?:div|h[1-6]|ul|ol|section|table|aside|form|footer)[ >]).*$"), "<[^>]*>")
+for _a, _b in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    S_MARKUP = f"replace({S_MARKUP}, '&{_a};', '{_b}')"
+S_PARAGRAPHS = f"""parts AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pages),
+each AS (SELECT page_id, i, {s_strip(S_MARKUP)} AS p FROM (SELECT page_id, i, parts[i] AS s FROM parts, unnest(range(2, len(parts) + 1)) u(i))),
+ps AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, p FROM each WHERE p <> '')"""
+
+
+@query(f"WITH {S_PARAGRAPHS} SELECT page_id, place::INT AS place, p AS paragraph FROM ps")
 def extract_paragraphs(spark, d):
     site = S.SiteProfile((("article", ""),))
-    return table(spark, d, "pages").select("page_id", F.posexplode(H.paragraphs("html", site)).alias("at", "paragraph"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(H.paragraphs("html", site)).alias("place", "paragraph"))
 
 
-@query()
+S_KEPT = f"""kept AS (SELECT page_id, string_agg(p, ' ' ORDER BY place) AS text, count(*) AS n FROM ps WHERE NOT ({s_count('p', S.LATIN.chars)} = 0 AND length(p) < 80) AND NOT (regexp_matches(p, {q(S_BOILER)}) AND length(p) < 200)
+  AND NOT regexp_matches(p, {q(rf'^In[{WS}]+["“”][^"“”]{{0,60}}["“”][{WS}]*$')}) GROUP BY page_id)"""
+
+
+@query(f"WITH {S_PARAGRAPHS}, {S_KEPT}, c AS (SELECT page_id, {S_SOCIAL} AS own FROM kept) SELECT page_id, CASE WHEN length(own) >= 100 THEN own END AS article_text FROM pages LEFT JOIN c USING (page_id)")
 def extract_articles(spark, d):
     site = S.SiteProfile((("article", ""),), least_chars=100)
     return H.extract_articles(table(spark, d, "pages"), site, script=S.LATIN).select("page_id", "article_text")
