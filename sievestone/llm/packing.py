@@ -33,9 +33,9 @@ FAN_IN = 16
 #: A rest isn't cut to top up a window by fewer tokens than this.
 LEAST_CUT = 8
 #: Distinct pieces of text that a worker keeps where memory is short.
-LEAN_PIECES = 100_000
+LEAN_PIECES = 200_000
 #: Ids in an Arrow batch that the packer emits.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, round int, still_open boolean, ids array<int>"
 
 

@@ -17,18 +17,18 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import runs
 
 #: Pieces that one worker keeps; beyond that, the half that was used most goes on.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 #: Bytes of text that are cut and looked up at a time.
-SEGMENT = 4_000_000
+SEGMENT = 8_000_000
 #: New pieces that the library gets as one string.
 JOINED = 2048
 #: Bits of the hash by which a worker remembers pieces that it has seen once.
@@ -42,6 +42,9 @@ _MARK = "\x01"
 _ODD = "\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\t\\r\\x00\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A full stop or comma at a word's end is a token of its own, after a letter that no normalisation joins it to.
 _STOP = "[A-Za-z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}][.,]\\z"
+#: Pieces that the library gets alone: empty, with white space or a mark at an end; with the mark between joined pieces.
+_SPACE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_EDGED, _MARKED = f"\\A\\z|\\A[\\x00{_SPACE}]|[{_SPACE}]\\z", "\\A\\z|\\x01"
 #: ASCII without the sign that special tokens begin with.
 _PLAIN = "\\A[\\x00-;=-\\x7f]*\\z"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -81,6 +84,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = plain_specials
         self.drops_blanks, self.kept = drops_blanks, kept or KEPT_PIECES
+        self.segment = SEGMENT // 4 if kept else SEGMENT  # a short table goes with short arrays
         if drops_blanks:
             (self.mark,) = self._library([_MARK])[0].ids
             self.lowers = self._library(["A"])[0].ids == self._library(["a"])[0].ids
@@ -93,8 +97,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        #: A key stands for itself after a blank, or after _BARE for the rest of it as it is; where blanks are dropped, for itself.
-        self.number: dict[str, int] = {}
+        #: Numbered pieces. One stands for itself after a blank, or after _BARE for the rest of it as it is; where blanks are dropped, for itself.
+        self.known = pa.array([], type=pa.string())
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.first = np.zeros(1 << 14, dtype=np.int64)
         self.count = np.zeros(1 << 14, dtype=np.int64)
@@ -103,18 +107,17 @@ class Encoder:
         self.once = np.zeros(1 << ONCE_BITS, dtype=bool)
 
     def _keep_half(self) -> None:
-        keys, n = list(self.number), len(self.number)
-        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: self.kept // 2])
+        known = self.known
+        kept = np.sort(np.argsort(-self.uses[: len(known)], kind="stable")[: self.kept // 2])
         ids, lengths, uses = self.ids[_ranges(self.first[kept], self.count[kept])], self.count[kept], self.uses[kept]
-        fresh = [keys[i] for i in kept.tolist()]
         self._clear()
         self._hold(ids, lengths)
-        self.number.update(zip(fresh, range(len(fresh)), strict=True))
-        self.uses[: len(fresh)] = uses // 2  # what was used long ago counts less
+        self.known = known.take(pa.array(kept))
+        self.uses[: len(kept)] = uses // 2  # what was used long ago counts less
 
     def _hold(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Put the ids of further pieces behind those of the numbered ones."""
-        at, more = len(self.number), len(ids)
+        at, more = len(self.known), len(ids)
         self.used = int(self.first[at - 1] + self.count[at - 1]) if at else 0
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -128,20 +131,17 @@ class Encoder:
     def _library(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces end to end, and how many each has. The library gets many to a string, cut again where each one's ids end."""
-        if self.drops_blanks:
-            odd = [not k or _MARK in k for k in fresh]
-        else:
-            odd = [not k or k[0] == _BARE or k[0].isspace() or k[-1].isspace() for k in fresh]
-        if any(odd):
-            own = [k for k, o in zip(fresh, odd, strict=True) if o]
+        odd = pc.match_substring_regex(fresh, _MARKED if self.drops_blanks else _EDGED).to_numpy(zero_copy_only=False)
+        if odd.any():
+            own = fresh.filter(pa.array(odd)).to_pylist()
             found = [e.ids for e in self._library([k if self.drops_blanks else k[1:] if k[:1] == _BARE else " " + k for k in own])]
-            return _merged(np.array(odd), np.array([i for x in found for i in x], dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64), *self._encoded([k for k, o in zip(fresh, odd, strict=True) if not o]))
-        if not fresh:
+            return _merged(odd, np.array([i for x in found for i in x], dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64), *self._encoded(fresh.filter(pa.array(~odd))))
+        if not len(fresh):
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        groups = [fresh[i : i + JOINED] for i in range(0, len(fresh), JOINED)]
-        glue = f" {_MARK} "
+        keys, glue = fresh.to_pylist(), f" {_MARK} "
+        groups = [keys[i : i + JOINED] for i in range(0, len(keys), JOINED)]
         strings = [glue.join(g) + glue if self.drops_blanks else " " + " ".join(g) for g in groups]
         ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in self._library(strings)])
         if self.drops_blanks:
@@ -149,32 +149,32 @@ class Encoder:
             ends = marks - np.arange(len(marks))
             ids = ids[ids != self.mark]
         else:
-            sizes = pc.binary_length(pa.array(fresh, type=pa.string())).to_numpy()
+            sizes = pc.binary_length(fresh).to_numpy()
             ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes.astype(np.int64) + 1)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def _numbers(self, keys: list[str], times: np.ndarray) -> np.ndarray:
-        """The distinct keys' places in the table; ``times``: how often each occurs.
+    def _numbers(self, words: pa.Array, times: np.ndarray) -> np.ndarray:
+        """The distinct words' places in the table; ``times``: how often each occurs.
 
         New ones are learnt. Those that occur once, and haven't before, aren't
         numbered: most pieces of a large corpus are that rare.
         """
-        n = np.fromiter(map(self.number.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
-        if len(self.number) + np.count_nonzero((n < 0) & (times > 1)) > self.kept:
+        found = lambda: pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        n = found()
+        if len(self.known) + np.count_nonzero((n < 0) & (times > 1)) > self.kept:
             self._keep_half()
-            n = np.fromiter(map(self.number.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+            n = found()
         at = np.flatnonzero(n < 0)
         if len(at):
-            fresh = [keys[i] for i in at.tolist()]
-            mark = np.fromiter(map(hash, fresh), dtype=np.int64, count=len(fresh)) & ((1 << ONCE_BITS) - 1)
+            mark = pd.util.hash_array(words.take(pa.array(at)).to_numpy(zero_copy_only=False), categorize=False) >> np.uint64(64 - ONCE_BITS)
+            mark = mark.astype(np.int64)
             again = (times[at] > 1) | self.once[mark]
             self.once[mark] = True
-            order = np.argsort(~again, kind="stable")
-            fresh = [fresh[i] for i in order.tolist()]
+            at = np.concatenate([at[again], at[~again]])
+            fresh = words.take(pa.array(at))
             self._hold(*self._encoded(fresh))
-            many, before = int(again.sum()), len(self.number)
-            n[at[order]] = before + np.arange(len(fresh))
-            self.number.update(zip(fresh[:many], range(before, before + many), strict=True))
+            n[at] = len(self.known) + np.arange(len(at))
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, int(again.sum()))])
         self.uses[n] += times
         return n
 
@@ -188,7 +188,7 @@ class Encoder:
             word = pc.if_else(pc.match_substring_regex(word, _PLAIN), pc.ascii_lower(word), word)
         words = word.dictionary_encode()
         n = words.indices.to_numpy()
-        n = self._numbers(words.dictionary.to_pylist(), np.bincount(n, weights=np.bincount(code, minlength=len(raw)), minlength=len(words.dictionary)).astype(np.int64))[n]
+        n = self._numbers(words.dictionary, np.bincount(n, weights=np.bincount(code, minlength=len(raw)), minlength=len(words.dictionary)).astype(np.int64))[n]
         stop = stop.to_numpy(zero_copy_only=False)
         own = self.count[n]
         count = own + stop
@@ -211,10 +211,10 @@ class Encoder:
         return pieces
 
     def _long(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a very long text, in lists of about SEGMENT characters."""
+        """The pieces of a very long text, in lists of about a segment's characters."""
         start = 0
         while start < len(text):
-            cut = _BETWEEN.search(text, start + SEGMENT)
+            cut = _BETWEEN.search(text, start + self.segment)
             end = cut.start() if cut else len(text)
             yield self._cut(text[start:end], not start)
             start = end + 1
@@ -240,9 +240,9 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yield (rows, ids, lengths): the ids of the next ``rows`` texts end to end, and how many each has."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string()), "")
-        for a, b in runs(texts, SEGMENT):
+        for a, b in runs(texts, self.segment):
             part = texts.slice(a, b - a)
-            if b - a == 1 and pc.binary_length(part)[0].as_py() > 2 * SEGMENT:
+            if b - a == 1 and pc.binary_length(part)[0].as_py() > 2 * self.segment:
                 ids = np.concatenate([self._look_up(pa.array(pieces, type=pa.string()))[0] for pieces in self._long(part[0].as_py())])
                 yield 1, ids, np.array([len(ids)], dtype=np.int64)
             else:
