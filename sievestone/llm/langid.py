@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import in_arrow, pick, table
 
 PROFILE = 300
 #: Documents of each language, about, that profiles are learnt from.
 LEARN_DOCS = 3000
+#: Languages, the most frequent, that profiles are learnt of.
+LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -95,14 +97,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_profiles(rows: DataFrame, learn_docs: int = LEARN_DOCS) -> Profiles:
-    """From ``rows`` (doc_id, text, lang): about ``learn_docs`` of each language, chosen by a hash of doc_id."""
+    """From ``rows`` (doc_id, text, lang): about ``learn_docs`` of each of the ``LANGUAGES`` most frequent languages, chosen by a hash of doc_id."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = {r["lang"]: min(1.0, learn_docs / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    shares = {r["lang"]: min(1.0, learn_docs / r["n"]) for r in counts.collect()}
     if not shares:
         return Profiles({})
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")]
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)  # null for other languages
+    counts = in_arrow(sample.select("lang", "text"), _count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     grams: dict[str, list[int]] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect():  # languages x PROFILE rows
@@ -120,7 +123,7 @@ def identify(docs: DataFrame, profiles: Profiles, *kept: str, names: tuple[str,
 
     kinds = dict(docs.dtypes)
     columns = pick(docs, *dict.fromkeys([*kept, "text"]))
-    return columns.mapInArrow(predict, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{names[0]}` string", f"`{names[1]}` double"]))
+    return in_arrow(columns, predict, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def remainder(key: Column, n: int) -> Column:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievestone.llm import decontaminate, exact_digest, html_extract, langid, packing, quality, sharding, simhash, token_orc, toxicity
+from sievestone.llm import decontaminate, exact_digest, html_extract, langid, packing, quality, sharding, simhash, similar, token_orc, toxicity
 from sievestone.llm.dom import blocks, parse
 from sievestone.llm.tokens import Encoder
 
@@ -33,27 +33,41 @@ def none(docs):
 
 def library_ids(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_pieces_encode_as_the_whole(name, drops, monkeypatch):
+def test_pieces_encode_as_the_whole(name, drops, plain, monkeypatch):
     rng = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", "a", "b.", "the,", "'s", "12", "é", "Σ", "!!", "_", "<|endoftext|>", "\x1c", "\0", "\x01", "　", "\U0001f600", "\r\n", ". ", ", "]
+    parts = [" ", "  ", "\n", "\t", "a", "B", "b.", "the,", "'s", "'S.", "12", "é", "É.", "e\u0301.", "İ.", "\u0958,", "\ufb4b.", "Σ", "!!", "_", "<|endoftext|>", "<|EndOfText|>", "\x1c", "\0", "\x01", "　", "\U0001f600", "\r\n", ". ", ", "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     from sievestone.llm import tokens
 
-    monkeypatch.setattr(tokens, "KEPT_PIECES", 500)
-    enc = Encoder(public_tokenizers.path(name), drops)
-    got = []
-    for _, ids, n in enc.encode(texts):
-        at = np.concatenate([[0], np.cumsum(n)])
-        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
-    assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    whole.encode_special_tokens = plain
+    for kept, segment in ((400_000, 8_000_000), (500, 3000)):
+        monkeypatch.setattr(tokens, "KEPT_PIECES", kept)
+        monkeypatch.setattr(tokens, "SEGMENT", segment)
+        enc = Encoder(public_tokenizers.path(name), drops, plain)
+        got = []
+        for rows, ids, n in enc.encode([*texts, None]):
+            assert rows == len(n)
+            at = np.concatenate([[0], np.cumsum(n)])
+            got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == [*(e.ids for e in whole.encode_batch(texts, add_special_tokens=False)), []]
     monkeypatch.setattr(tokens, "SEGMENT", 50)
-    long = " ".join(texts[:500])
-    assert np.concatenate([ids for _, ids, _ in enc.encode([long])]).tolist() == enc.tokenizer.encode(long, add_special_tokens=False).ids
+    long, enc = " ".join(texts[:500]), Encoder(public_tokenizers.path(name), drops, plain)
+    assert np.concatenate([ids for _, ids, _ in enc.encode([long])]).tolist() == whole.encode(long, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_every_character_before_a_stop(name, drops):
+    texts = [f"a {chr(i)}{'.,'[i % 2]} b" for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    enc = Encoder(public_tokenizers.path(name), drops)
+    ids, n = zip(*((ids, n) for _, ids, n in enc.encode(texts)))
+    got = np.split(np.concatenate(ids), np.cumsum(np.concatenate(n))[:-1])
+    assert all(a.tolist() == e.ids for a, e in zip(got, enc.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
 def test_token_files(spark, docs, none, tmp_path):
@@ -131,13 +145,25 @@ def test_digests(spark, docs, none, tmp_path):
     assert exact_digest.fingerprint_documents(none).count() == 0
 
 
-def test_equal_hashes_are_told_apart(docs, monkeypatch):
+def test_equal_hashes_are_told_apart(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(exact_digest, "wide_hash", lambda c: F.lit("0"))  # all collide
     got = exact_digest.fingerprint_documents(docs).collect()
     by = {}
     for r in got:
         by.setdefault(canon(dict(ROWS)[r["doc_id"]]), set()).add(r["fingerprint"])
     assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got, names = exact_digest.op9_canonical_digest(spark, f"file://{tmp_path}").collect(), {}
+    assert len(got) == len(ROWS)
+    order = sorted(ROWS, reverse=True, key=lambda r: r[0])
+    following = {i: x or "" for (i, _), (_, x) in zip(order, order[1:] + order[:1])}
+    for r in got:
+        t, x = dict(ROWS)[r["doc_id"]] or "", following[r["doc_id"]]
+        edited = t[: len(t) - len(t) // 3] + x[: len(t) // 3]
+        for name, text in ((r["fingerprint"], t), (r["edited_fingerprint"], edited)):
+            assert names.setdefault(canon(text), name) == name
+        assert r["near_edited"] == float(r["fingerprint"] == r["edited_fingerprint"])
+    assert len(set(names.values())) == len(names)
 
 
 def simhash_of(text, k=3):
@@ -150,7 +176,7 @@ def simhash_of(text, k=3):
 
 def test_masks_cover():
     rng = random.Random(5)
-    for radius in (1, 3, 6):
+    for radius in (1, 2, 3):
         masks = simhash.covering_masks(radius)
         for _ in range(2000):
             flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
@@ -189,9 +215,9 @@ def test_near_copies(spark):
         w[rng.randrange(200)] = word()
         copies.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()}
     assert sum(got[30 + i] == i for i in range(10)) >= 9 and all(got[i] == i for i in range(30))
-    assert simhash.near_copies(df.where("doc_id < 0")).count() == 0
+    assert similar.near_copies(df.where("doc_id < 0")).count() == 0
 
 
 def test_near_copies_keep_to_the_similarity(spark):
@@ -216,7 +242,7 @@ def test_near_copies_keep_to_the_similarity(spark):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[3])]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, id int")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()}
     assert got.pop(None) == 3
     assert all(got[i] in (root[i], i) for i in range(len(texts)))
     assert sum(got[i] != root[i] for i in range(len(texts))) <= 1
@@ -241,7 +267,7 @@ def similar_roots(texts):
 @pytest.mark.parametrize("limits", [(16, 2000), (4, 60), (10_000, 2000)])
 def test_large_groups_of_near_copies(spark, limits, monkeypatch):
     """Hundreds of different variants, each of another one: the bucket's size changes nothing."""
-    monkeypatch.setattr(simhash, "SAMPLED", 8)
+    monkeypatch.setattr(similar, "SAMPLED", 8)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
     made = [[word() for _ in range(90)]]
@@ -253,7 +279,7 @@ def test_large_groups_of_near_copies(spark, limits, monkeypatch):
     texts = [" ".join(w) for w in made] + [None, " ", "A\tb", "a \x0b B\n", "a", "a a a a a a", "a a a a a", "é\u3000É", "é\u3000é"]
     root, _ = similar_roots(texts)
     assert 20 < len(set(root)) < 300
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **dict(zip(("pair_limit", "block_limit"), limits))).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **dict(zip(("pair_limit", "block_limit"), limits))).collect()}
     assert [got[i] for i in range(len(texts))] == root
 
 
@@ -273,7 +299,7 @@ def test_near_copies_with_added_and_cut_text(spark):
                 texts += [" ".join(own[x] for x in w), " ".join(own[x] for x in c)]
     root, pairs = similar_roots(texts)
     assert pairs > 60
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == root
 
 
@@ -289,6 +315,12 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.Profiles({}), "doc_id").collect()} == {"und"}
 
 
+def test_most_frequent_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    rows = [(i, "le chat et le chien", "fr" if i else "en") for i in range(5)]
+    assert langid.learn_profiles(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).languages == ["fr"]
+
+
 def test_profile_distance():
     profiles = langid.Profiles({"a": [1, 2, 3], "b": [3, 2, 1]})
     codes, counts = langid.gram_counts("ab ab")
@@ -326,38 +358,44 @@ def brute_leaks(text, items):
         b = tok(item)
         for start in range(-len(b), len(d)):
             eq = [0 <= start + i < len(d) and d[start + i] == b[i] for i in range(len(b))]
+            if len(b) < 10:
+                whole = start >= 0 and start + len(b) <= len(d) and len(b) > 0
+                if whole and (all(eq) if len(b) < 5 else 5 * sum(eq) >= 4 * len(b)):
+                    found.add(key)
+                continue
             for i in range(len(b)):
-                for j in range(i + min(10, len(b)), len(b) + 1):
-                    inside = start + i >= 0 and start + j <= len(d)
-                    if inside and len(b) >= 5 and 5 * sum(eq[i:j]) >= 4 * (j - i):
+                for j in range(i + 10, len(b) + 1):
+                    if start + i >= 0 and start + j <= len(d) and 5 * sum(eq[i:j]) >= 4 * (j - i):
                         found.add(key)
     return found
 
 
-def test_leaks_against_brute_force(spark, docs, none):
+@pytest.mark.parametrize("tokens", [1_000_000, 30])  # the seeds joined in memory, and as a table
+def test_leaks_against_brute_force(spark, docs, none, tokens):
     rng = random.Random(6)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyz")
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((4, 5, 9, 10, 14, 30))] + [(6, None), (7, "")]
-    texts = []
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((2, 4, 5, 6, 9, 10, 14, 30))]
+    odd = [(20, None), (21, ""), (22, "?! --"), (None, items[6][1] + " zz"), (5, items[5][1]), (5, " ".join(word() for _ in range(12))), (23, "solo")]
+    texts = ["SOLO!", "solo " * 500]
     for _ in range(150):
-        b = rng.choice(items[:6])[1].split()
+        b = rng.choice(items + odd[3:6])[1].split()
         i = rng.randrange(len(b))
         cut = [w if rng.random() > 0.15 else "Q" for w in b[i // 2 :]]
         texts.append(" ".join([word() for _ in range(rng.randint(0, 9))] + [w.upper() + "," for w in cut] + [word() for _ in range(rng.randint(0, 9))]))
-    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id bigint, text string")
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (1_000_000, 30):  # in one block and in several
-        got = {}
-        for r in decontaminate.find_leaks(df, bench, block).collect():
-            got.setdefault(r["doc_id"], set()).add(r["item_id"])
-        for i, t in enumerate(texts):
-            want = brute_leaks(t, [(k, x) for k, x in items if x and len(x.split()) >= 10])
-            assert {k for k in got.get(i, set()) if k in (3, 4, 5)} == want
-            exact = {k for k, x in items[1:3] if f" {x} " in f" {' '.join(map(decontaminate.normal, t.split()))} "}
-            assert exact <= got.get(i, set())
-    kept = decontaminate.without_leaks(df, bench)
-    assert kept.columns == df.columns and kept.count() == 152 - len(got)
-    assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.where("item_id > 99")).count() == 0
+    rows = [*enumerate(texts), (900, None), (901, ""), (None, texts[2])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, item_id int")
+    bench = spark.createDataFrame([(*r, "t") for r in items + odd], "item_id bigint, text string, x string")
+    leaks = decontaminate.find_leaks(df, bench, tokens).collect()
+    got = {}
+    for r in leaks:
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+        assert r["similarity"] == r["n_equal"] / r["n_tokens"] >= 0.8 and r["at_token"] >= 0
+    for i, t in rows:
+        assert got.get(i, set()) == brute_leaks(t, items + odd), (i, t)
+    assert sorted(leaks, key=str) == sorted(decontaminate.find_leaks(df, bench, 10**9).collect(), key=str)
+    kept = decontaminate.without_leaks(df, bench, tokens)
+    assert kept.columns == df.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted((i is None, i or 0) for i, _ in rows if not got.get(i))
+    assert decontaminate.find_leaks(none, bench, tokens).count() == 0 and decontaminate.find_leaks(docs, bench.where("item_id > 99"), tokens).count() == 0
 
 
 def test_toxicity(spark, docs, none):
