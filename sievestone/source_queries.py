@@ -158,9 +158,9 @@ def schema_difference(spark, d):
     return spark.createDataFrame([*(("missing", c) for c in missing), *(("extra", c) for c in extra)], "kind string, name string")
 
 
-@query("SELECT doc_id, lang, NULL::BIGINT AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+@query("SELECT doc_id, lang, NULL::VARCHAR AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality::VARCHAR FROM labels")
 def appended_frames(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("quality"))
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     return tables.append_all([table(spark, d, "documents").select("doc_id", "lang"), labels])
 
 
