@@ -230,8 +230,9 @@ def _in_blocks(heavy: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
     half = max(1, block_limit // 2)
     rooted = heavy.join(groups, F.col("x") == F.col("node"), "left").select("h", "x", "n", F.coalesce("root", "x").alias("root"))
     rooted = materialize(rooted, "heavy")
-    apart = rooted.groupBy("h").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("h")
-    sizes = rooted.groupBy("h", "root").agg(F.count("*").alias("c"))
+    # Written, so that the joins below have plain shuffles on both sides and a hot bucket's or group's rows can be split.
+    sizes = materialize(rooted.groupBy("h", "root").agg(F.count("*").alias("c")), "sizes")
+    apart = materialize(sizes.groupBy("h").agg(F.count("*").alias("groups")).where("groups > 1").select("h"), "apart")
     own = F.when(F.col("c") > half, F.col("root"))
     cell = F.when(own.isNull(), F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / half))).otherwise(-1 - F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / half))), F.lit(1 << 40)))
     dealt = materialize(rooted.join(apart, "h").join(sizes, ["h", "root"]).select("h", "x", "root", own.alias("own"), cell.alias("cell")), "cells")
