@@ -17,7 +17,7 @@ from ..scratch import discard, materialize, scratch_path
 __all__ = ["discard", "in_arrow", "key_bounds", "materialize", "part_of", "pick", "runs", "scratch_path", "shuffle_width", "table"]
 
 #: Bytes in an Arrow batch that goes to a Python worker, about: long texts make short batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +41,14 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``df.mapInArrow`` with batches bounded in bytes and not in rows alone, by a setting of the session."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
         _give_back()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df.mapInArrow(run, schema)
 
 

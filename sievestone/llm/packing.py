@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, materialize, pick, table
-from .tokens import default_path, encoder
+from .tokens import SEGMENT, default_path, encoder
 
 WINDOW = 2048
 OPEN = 64
@@ -33,7 +33,7 @@ FAN_IN = 16
 #: A rest isn't cut to top up a window by fewer tokens than this.
 LEAST_CUT = 8
 #: Distinct pieces of text that a worker keeps where memory is short.
-LEAN_PIECES = 200_000
+LEAN_PIECES = 50_000
 #: Ids in an Arrow batch that the packer emits.
 BATCH_IDS = 1 << 18
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, round int, still_open boolean, ids array<int>"
@@ -170,7 +170,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     parts = max(1, rows.rdd.getNumPartitions())
-    now = materialize(in_arrow(rows, _first_round(vocabulary, end_id, drops_blanks, plain_specials, window, most_open, lean), SCHEMA), "packed", "snappy")
+    now = materialize(in_arrow(rows, _first_round(vocabulary, end_id, drops_blanks, plain_specials, window, most_open, lean), SCHEMA, SEGMENT // 8 if lean else SEGMENT), "packed", "snappy")
     done = now.where("NOT still_open")
     turn = 0
     while True:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import in_arrow, key_bounds, part_of, pick, scratch_path, shuffle_width, table
-from .tokens import default_path, encoder
+from .tokens import SEGMENT, default_path, encoder
 
 ROWS_INDEXED = 1000
 ORC = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": str(ROWS_INDEXED), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
     # The ranges come from the ids alone, so that texts are read and shuffled once.
     bounds = key_bounds(rows.select("doc_id"), "doc_id", shuffle_width(docs.sparkSession))
     ordered = rows.repartitionById(len(bounds) + 1, part_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id")
-    in_arrow(ordered, encode, SCHEMA).write.options(**ORC).orc(path)
+    in_arrow(ordered, encode, SCHEMA, SEGMENT).write.options(**ORC).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -84,7 +84,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = plain_specials
         self.drops_blanks, self.kept = drops_blanks, kept or KEPT_PIECES
-        self.segment = SEGMENT // 4 if kept else SEGMENT  # a short table goes with short arrays
+        self.segment = SEGMENT // 8 if kept else SEGMENT  # a short table goes with short arrays
         if drops_blanks:
             (self.mark,) = self._library([_MARK])[0].ids
             self.lowers = self._library(["A"])[0].ids == self._library(["a"])[0].ids
