@@ -344,6 +344,47 @@ def test_quality(spark, docs, none):
     assert {r["score"] for r in quality.score_quality(docs, None, "doc_id").collect()} == {0.5}
 
 
+def test_quality_learns_from_all_rows_and_pairs(spark):
+    rng = random.Random(8)
+    text = lambda y: " ".join(rng.choice(["alpha", "Beta", "g!", "42", "the."][y:]) for _ in range(rng.randint(1, 12)))
+    rows = [(i, text(i % 2), i % 2) for i in range(9000)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows + rows[:50]], "doc_id bigint, quality int")
+    ranker = quality.learn_quality(df.union(df.limit(20)), labels, lambda c: c < 8900)  # equal rows count once
+    x, y = np.array([quality.features(r[1]) for r in rows[:8900]], dtype=np.float32), np.array([r[2] for r in rows[:8900]])
+    for j in range(x.shape[1]):
+        plain = [sorted(x[y == label, j])[k * 4449 // 9] for label in (1, 0) for k in range(1, 9)]
+        assert ranker.cuts[j].tolist() == plain
+    z = ranker.basis(x, ranker.cuts).astype(float)
+    raw = z @ ranker.weights
+    wrong = 1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0]))  # all pairs
+    slope = (wrong.mean(axis=0) @ z[y == 0] - wrong.mean(axis=1) @ z[y == 1]) / 4450 + 1e-4 * ranker.weights
+    assert np.abs(slope).max() < 1e-3
+    assert ranker.middle == np.sort(raw)[4449:4451].mean()
+    assert ranker.slope == pytest.approx(8 / (np.median(raw[y == 1]) - np.median(raw[y == 0])))
+    again = quality.learn_quality(df.orderBy(F.rand(3)).repartition(7), labels, lambda c: c < 8900)
+    assert again.weights.tolist() == ranker.weights.tolist() and again.middle == ranker.middle
+
+
+@pytest.mark.parametrize("senders", [16, 2])  # the tasks' sums sent as they are, and added up before
+def test_quality_counts_of_scores(spark, senders, monkeypatch):
+    monkeypatch.setattr(quality, "SENDERS", senders)
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 9, (70, quality.WIDTH)).astype(np.float32), np.arange(70) % 3 // 2
+    rows = spark.createDataFrame([(int(v), bytearray(r.tobytes())) for v, r in zip(y, x)], "label int, x binary").repartition(3)
+    rows = quality.packed(rows).rdd
+    cuts, counts = quality.exact_cuts(rows)
+    assert counts.tolist() == [47, 23]
+    whole = rng.integers(-900, 900, cuts.size)
+    scores = quality._Scores(rows, cuts, whole)
+    w = whole / quality.GRID
+    step = np.array([[float(v > c) for v, own in zip(r, cuts) for c in own] for r in x])
+    pairs = [step[i] - step[j] for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)]
+    assert scores.loss() == pytest.approx(np.mean([np.log1p(np.exp(-d @ w)) for d in pairs]) + 5e-5 * w @ w)
+    assert scores.slope() == pytest.approx(np.mean([-d / (1 + np.exp(d @ w)) for d in pairs], axis=0) + 1e-4 * w, abs=1e-6)
+    assert scores.median(scores.bad) == np.median((step @ w)[y == 0])
+
+
 def test_masks_find_any_two_substitutions():
     from itertools import combinations
 
