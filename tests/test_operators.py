@@ -86,6 +86,16 @@ def test_csv_round_trip(spark, tmp_path):
     assert readers.read_articles_any(spark, str(tmp_path / "l.csv")).first()[0] == "ü"
 
 
+#: Texts that a CSV reader or writer may trim, take for null or split.
+ODD = [" a", "a ", "\n\ta\n", "\r", "a\r\nb", "", " ", None, "\x00", '\x00\n"', "\x1fa", '"', '""', '"a",\n"', "\\", '\\"', ",", "\ufeffa", "a\u2028", "null", "#a"]
+
+
+def test_csv_keeps_every_character(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(ODD)), "k int, t string")
+    writers.write_csv(df, str(tmp_path / "x"))
+    assert {r["k"]: r["t"] for r in readers.read_articles(spark, str(tmp_path / "x"), df.schema).collect()} == dict(enumerate(ODD))
+
+
 def test_metric_bundles(spark, tmp_path):
     one = {"language": "a", "model": "m", "n_scored": 1, "emo_acc": 0.5, "emotion_per_class": {"joy": {"precision": 1, "recall": 1, "f1-score": 1, "support": 2}, "accuracy": None}}
     for name, doc in (("1", one), ("2", [one, one | {"model": "n"}]), ("3", {"slices": [one | {"model": "o"}]})):
