@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievestone import schemas as S
+from sievestone import source_queries
 from sievestone.functions import text as X
 from sievestone.operators import annotate, cleaning, overlap, profile, tables, validation
 from sievestone.operators import classification as C
@@ -96,6 +97,12 @@ def test_csv_keeps_every_character(spark, tmp_path):
     assert {r["k"]: r["t"] for r in readers.read_articles(spark, str(tmp_path / "x"), df.schema).collect()} == dict(enumerate(ODD))
 
 
+def test_latin1_keeps_white_space(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r["doc_id"]): r["text"] for r in source_queries.csv_latin1(spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else "".join(x if x <= "\xff" else "?" for x in t[:200]) + " ü" for k, t in enumerate(ODD)}
+
+
 def test_metric_bundles(spark, tmp_path):
     one = {"language": "a", "model": "m", "n_scored": 1, "emo_acc": 0.5, "emotion_per_class": {"joy": {"precision": 1, "recall": 1, "f1-score": 1, "support": 2}, "accuracy": None}}
     for name, doc in (("1", one), ("2", [one, one | {"model": "n"}]), ("3", {"slices": [one | {"model": "o"}]})):
