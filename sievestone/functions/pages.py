@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -109,11 +110,20 @@ def _mapped(kind: str, f: Callable[[str | None], object]) -> Callable[[Column |
     return lambda c: udf(X.col(c))
 
 
-def headline(c: Column | str, suffixes: tuple[str, ...] = ()) -> Column:
-    """The first h1, even an empty one; else the title without the site's suffix; else og:title; else empty."""
+def headline(c: Column | str, suffixes: tuple[str, ...] = (), entities: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """The first h1, even an empty one; else the title without the site's suffix; else og:title; else empty.
+
+    Character references are read as browsers do, also without their semicolon; with ``entities``,
+    (written, meant), only those are replaced, one after another, and all others stay as they are written.
+    """
 
     def of(html: str | None) -> str:
-        page = tree(html)
+        if entities is None:
+            return told(tree(html))
+        # with every & escaped, the parser gives back what is written
+        return reduce(lambda t, e: t.replace(*e), entities, told(tree((html or "").replace("&", "&amp;")))).strip()
+
+    def told(page: Element) -> str:
         if h1 := page.first("h1"):
             return "".join(s.strip() for s in h1.strings())
         if title := page.first("title"):

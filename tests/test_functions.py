@@ -90,6 +90,13 @@ def test_pages(spark):
     assert on(spark, [card], H.permalink("t", "https://s/")) == ["https://s/y"]
 
 
+def test_headline_with_named_entities(spark):
+    pages = ["<h1> a&amp;b &amp</h1>", "<h1>&quot;x&#39; &lt;b&gt;&am</h1>", "<title>&amp;quot</title>", None]
+    own = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+    assert on(spark, pages, H.headline("t", entities=own)) == ["a&b &amp", "&quot;x&#39; <b>&am", "&quot", ""]
+    assert on(spark, pages, H.headline("t")) == ["a&b &", "\"x' <b>&am", "&quot", ""]
+
+
 def test_paragraph_rules_skip_before_stop(spark):
     long = "क" * 60
     df = spark.createDataFrame([([long, "related", long + "1", "related " + long, long],)], "p array<string>")
