@@ -29,7 +29,7 @@ def ngrams(toks: Column, n: int) -> Column:
 
 def ascii_tokens(c: Column | str) -> Column:
     """Lower-case runs of a-z and 0-9: every other script vanishes."""
-    return F.regexp_extract_all(F.lower(X.col(c)), F.lit("([a-z0-9]+)"), 1)
+    return F.regexp_extract_all(X.lower(c), F.lit("([a-z0-9]+)"), 1)
 
 
 def _prf(match: Column, hyp: Column, ref: Column) -> list[Column]:

@@ -67,6 +67,11 @@ def test_cleaners(spark):
     assert on(spark, ["hELLO wORLD", ""], X.capitalize("t")) == ["Hello world", ""]
 
 
+def test_case_is_by_the_character(spark):
+    assert on(spark, ["ßA", "ﬁN", "ΑΣ", "ªİ", "ᾳΣ x", "éÀ"], X.capitalize("t")) == ["ẞa", "ﬁn", "Ασ", "ªi", "ᾼσ x", "Éà"]
+    assert on(spark, ["ΑΣ İ"], X.folded_prefix_key("t")) == on(spark, ["ΑΣ İ"], X.fingerprint("t")) == ["ασ i"]
+
+
 def test_flags(spark):
     got = on(spark, ["#x read more <b> ...", None, "क" * 600], X.quality_flags("t"))
     assert got[0] == ["LOW_DEVANAGARI", "HIGH_ENGLISH", "LEFTOVER_HASHTAG", "HASHTAG_TOKEN", "SOCIAL_BOILERPLATE", "HTML_ARTIFACT", "POSSIBLE_TRUNCATION", "BELOW_MIN_LENGTH", "SHORT_ARTICLE", "LOW_UNIQUE_WORDS"]
