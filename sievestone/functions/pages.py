@@ -214,7 +214,7 @@ def is_quotation_marker(p: Column) -> Column:
 
 
 def is_boilerplate(p: Column) -> Column:
-    return p.rlike(f"(?i){X.BOILERPLATE}") & (F.length(p) < 200)
+    return (F.length(p) < 200) & X.has_boilerplate(p)
 
 
 # Marks of author notes, of "read also" sections and of embedded data.

@@ -1,5 +1,6 @@
 """Text, address, reply and prompt functions on hand-written rows."""
 
+import re
 import unicodedata
 
 import pytest
@@ -79,6 +80,26 @@ def test_flags(spark):
     assert got[2] == ["LOW_UNIQUE_WORDS"]
 
 
+FURNITURE = ["Share  this", "xFOLLOW US", "sharethis", "TAGS:", "tag", "category :", "all rights  reserved", "alL", "term of use", "also\nread", "क read more", "rea", None, ""]
+
+
+def test_furniture_and_markup_by_plain_patterns(spark):
+    for pattern in (X.BOILERPLATE, X.FLAG_BOILERPLATE, "ab|c+"):
+        assert on(spark, FURNITURE, X.has_boilerplate("t", pattern)) == [None if t is None else bool(re.search(f"(?i){pattern}", t)) for t in FURNITURE]
+    marks = ["a<b", "<", "&amp", "&amp;", "[caption", "[x", "-->", "->", "<!--", "x..", "x.. \n", "x..y", "क्लिक", "xक्लिक", "a क्लिक ", 'In "x', "In x", None]
+    assert on(spark, marks, X.has_markup("t")) == on(spark, marks, F.col("t").rlike(X.HTML_ARTIFACTS))
+    assert on(spark, marks, X.is_truncated("t")) == on(spark, marks, F.col("t").rlike(X.TRUNCATION))
+
+
+def test_tokens_of_all_white_space(spark):
+    gaps = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = ["", " ", "a", *[f"{g}a{g}{g}\u200b😀{g}" for g in gaps], "\x00 \x7f", None, " ".join(f"w{i % 19}" for i in range(200)) + " z", " w" * 82 + "".join(f" x{i}" for i in range(18))]
+    assert on(spark, texts, X.tokens("t")) == [None if t is None else t.split() for t in texts]
+    assert on(spark, texts, X.word_count("t"))[:4] == [0, 0, 1, 2]
+    for n in (2, 19, 20):
+        assert on(spark, texts, X.has_unique_words("t", n)) == [None if t is None else len(set(t.split())) >= n for t in texts]
+
+
 def test_addresses(spark):
     urls = ["/?p=12", "https://m.example/?x=1&p=7", "https://m.example/?p=a", None]
     assert on(spark, urls, U.canonical_article_url("t", "https://m.example")) == ["https://m.example/?p=12", "https://m.example/?p=7", None, None]
