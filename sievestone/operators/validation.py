@@ -36,8 +36,12 @@ class ValidationProfile:
 
 
 def stray_symbols(c: Column | str, script: ScriptProfile = DEVANAGARI) -> Column:
-    """The distinct characters outside script, digits and plain punctuation, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(X.col(c), F.lit(f'([^{script.chars}{X.KEPT_MARKS}\\-"])'), 1))
+    """The distinct characters outside script, digits and plain punctuation, in order of appearance.
+
+    What is kept goes in whole runs first; common characters stand before the class that lists them all.
+    """
+    left = F.regexp_replace(X.col(c), f'[{script.chars} [{X.KEPT_MARKS}\\-"]]++', "")
+    return F.array_distinct(F.regexp_extract_all(left, F.lit("(?s)(.)"), 1))
 
 
 def latin_words(c: Column | str, n: int = 5) -> Column:

@@ -15,6 +15,7 @@ from sievestone.functions import prompts as P
 from sievestone.functions import replies as N
 from sievestone.functions import text as X
 from sievestone.operators import overlap as O
+from sievestone.operators import validation as V
 
 
 def on(spark, values, column):
@@ -100,6 +101,12 @@ def test_tokens_of_all_white_space(spark):
         assert on(spark, texts, X.has_unique_words("t", n)) == [None if t is None else len(set(t.split())) >= n for t in texts]
 
 
+def test_stray_symbols_in_order(spark):
+    texts = ["b#a😀#क*", "ab-\"c", "", None, "^_`{|}~é"]
+    assert on(spark, texts, V.stray_symbols("t", S.LATIN_ACCENTED)) == [["#", "😀", "क", "*"], [], [], None, list("^_`{|}~")]
+    assert on(spark, texts, V.stray_symbols("t"))[0] == ["b", "#", "a", "😀", "*"]
+
+
 def test_addresses(spark):
     urls = ["/?p=12", "https://m.example/?x=1&p=7", "https://m.example/?p=a", None]
     assert on(spark, urls, U.canonical_article_url("t", "https://m.example")) == ["https://m.example/?p=12", "https://m.example/?p=7", None, None]
