@@ -82,8 +82,13 @@ def script_bands(df: DataFrame, script: Column, latin: Column) -> DataFrame:
     return df.agg(F.count_if(script < 0.30).alias("low"), F.count_if((script >= 0.30) & (script < 0.60)).alias("middle"), F.count_if(script >= 0.60).alias("high"), F.count_if(latin > 0.60).alias("latin"))
 
 
+def _each_flag(df: DataFrame, flags: str, *keys: str) -> DataFrame:
+    """A row for each flag. Before a plain explode Spark filters by size, which computes all flags twice."""
+    return df.select(*keys, F.explode_outer(flags).alias("flag")).where("flag IS NOT NULL")
+
+
 def flag_counts(df: DataFrame, flags: str = "flags") -> DataFrame:
-    return df.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    return _each_flag(df, flags).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 def flag_samples(df: DataFrame, key: str, flags: str = "flags", k: int = 5) -> DataFrame:
