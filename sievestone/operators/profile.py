@@ -93,7 +93,7 @@ def flag_counts(df: DataFrame, flags: str = "flags") -> DataFrame:
 
 def flag_samples(df: DataFrame, key: str, flags: str = "flags", k: int = 5) -> DataFrame:
     """The first k rows of each flag. Fixed-size partial minima, so that a flag on every row is no hot task."""
-    each = df.select(F.col(key), F.explode(flags).alias("flag"))
+    each = _each_flag(df, flags, key)
     salted = each.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
     first = salted.withColumn("_r", F.row_number().over(W.partitionBy("flag", "_salt").orderBy(key))).where(F.col("_r") <= k)
     return first.withColumn("rank", F.row_number().over(W.partitionBy("flag").orderBy(key))).where(F.col("rank") <= k).select("flag", key, "rank")
