@@ -128,7 +128,8 @@ def hit_cap(tokens: Column, cap: int) -> Column:
 
 
 def describe_words(df: DataFrame, words: Column) -> DataFrame:
-    v = words.cast("double")
+    """One row: mean, median, least and most, as in ``length_summary``."""
+    df, v = df.select(words.cast("double").alias("_w")), F.col("_w")
     return df.agg(F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("p50"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
