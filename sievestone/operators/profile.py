@@ -114,8 +114,8 @@ def length_stats(words: Column, ddof: int = 0) -> list[Column]:
 
 
 def length_summary(df: DataFrame, words: Column, ddof: int = 0) -> DataFrame:
-    """One row of ``length_stats``."""
-    return df.agg(*length_stats(words, ddof))
+    """One row of ``length_stats``. Words are counted in a step of their own, not in each aggregate."""
+    return df.select(words.alias("_w")).agg(*length_stats(F.col("_w"), ddof))
 
 
 def rate(holds: Column) -> Column:

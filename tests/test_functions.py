@@ -15,6 +15,7 @@ from sievestone.functions import prompts as P
 from sievestone.functions import replies as N
 from sievestone.functions import text as X
 from sievestone.operators import overlap as O
+from sievestone.operators import profile
 from sievestone.operators import validation as V
 
 
@@ -107,6 +108,14 @@ def test_stray_symbols_in_order(spark):
     assert on(spark, texts, V.stray_symbols("t"))[0] == ["b", "#", "a", "😀", "*"]
 
 
+def test_texts_are_read_once(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    flags = df.select("doc_id", X.quality_flags("text").alias("flags"))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan(x).count("LOW_DEVANAGARI") for x in (profile.flag_counts(flags), profile.flag_samples(flags, "doc_id"))] == [1, 1]
+    assert [plan(f(df, X.word_count("text"))).count("split(") for f in (profile.describe_words, profile.length_summary)] == [1, 1]
+
+
 def test_addresses(spark):
     urls = ["/?p=12", "https://m.example/?x=1&p=7", "https://m.example/?p=a", None]
     assert on(spark, urls, U.canonical_article_url("t", "https://m.example")) == ["https://m.example/?p=12", "https://m.example/?p=7", None, None]
