@@ -162,6 +162,12 @@ def test_replies(spark):
     assert on(spark, ['{"sentiment": "negative"}'], N.parse_sentiment("t", "exact")) == ["Neutral"]
 
 
+def test_replies_are_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "t string")
+    for parse in (N.parse_annotated_emotion, N.parse_classified_emotion):
+        assert df.select(parse("t").alias("e"))._jdf.queryExecution().analyzed().toString().count("get_json_object") == 8
+
+
 def test_prompts(spark):
     assert on(spark, ["a {b} c"], P.render("<{text}|{text}>", text=F.col("t"))) == ["<a {b} c|a {b} c>"]
     spec = on(spark, ["openrouter:m/x:free", "m:x", "y"], P.parse_model_spec("t"))
