@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.tables import key_bounds, part_of
 from ..scratch import discard, materialize, scratch_path
+from ..session import BATCH_BYTES, short_batches
 
 __all__ = ["discard", "in_arrow", "key_bounds", "materialize", "part_of", "pick", "runs", "scratch_path", "shuffle_width", "table"]
 
-#: Bytes in an Arrow batch that goes to a Python worker, about: long texts make short batches.
-BATCH_BYTES = 2 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables under ``sf_dir``, which may be any path Spark reads."""
@@ -48,7 +46,7 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         yield from f(batches)
         _give_back()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    short_batches(df.sparkSession, batch_bytes)
     return df.mapInArrow(run, schema)
 
 

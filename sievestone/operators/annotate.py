@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import short_batches
 from .tables import pending
 
 
@@ -80,6 +81,7 @@ def annotate(rows: DataFrame, make: Callable[[], Annotator], text: str, out: str
                 values += [None] * len(part) if late else own(part)
             yield pdf.assign(**{out: pd.Series(values, index=pdf.index, dtype=object)})
 
+    short_batches(rows.sparkSession)
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, out_type or T.StringType())]))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievestone import schemas as S
 from sievestone import source_queries
+from sievestone.functions import pages
 from sievestone.functions import text as X
 from sievestone.operators import annotate, cleaning, overlap, profile, tables, validation
 from sievestone.operators import classification as C
@@ -121,6 +122,18 @@ def test_json_map_and_sitemap(spark, tmp_path):
     assert [r[0] for r in readers.sitemap_articles(xml).collect()] == ["https://a/1"]
 
 
+def test_long_texts_make_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    long = spark.range(200).select("id", F.repeat(F.lit("x"), 100_000).alias("t")).coalesce(1)
+    rows = annotate.annotate(long, lambda: lambda texts: [str(len(texts))] * len(texts), "t", "n", batch=1000)
+    assert max(int(r["n"]) for r in rows.select("n").collect()) <= 40
+    for column in (lambda: pages.headline("t"), lambda: overlap.bleu_stats(X.tokens("t"), X.tokens("t")), lambda: overlap.rouge_l(X.tokens("t"), X.tokens("t"))):
+        spark.conf.unset(key)
+        column()
+        assert spark.conf.get(key) == str(2 << 20)
+
+
 def test_annotation_resumes(spark, tmp_path):
     df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "k int, t string")
     done = annotate.annotate_pending(df, str(tmp_path / "ck"), "k", annotate.stub_annotator, "t")
