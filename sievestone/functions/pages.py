@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEVANAGARI_BASE, ScriptProfile, SiteProfile
+from ..session import short_batches
 from . import text as X
 
 # Fixed values of the HTML standard: elements without content, and those that end an open paragraph.
@@ -107,6 +108,7 @@ def _mapped(kind: str, f: Callable[[str | None], object]) -> Callable[[Column |
         for s in pages:
             yield s.map(f)
 
+    short_batches()
     return lambda c: udf(X.col(c))
 
 

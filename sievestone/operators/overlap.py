@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import short_batches
 
 
 def ngrams(toks: Column, n: int) -> Column:
@@ -85,6 +86,7 @@ def rouge_l(ref: Column, hyp: Column) -> Column:
         for a, b in pairs:
             yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
+    short_batches()
     p, r, f = _prf(lcs(ref, hyp), F.size(hyp), F.size(ref))
     return F.struct(p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
@@ -135,6 +137,7 @@ def bleu_stats(ref: Column, hyp: Column) -> Column:
         for a, b in pairs:
             yield pd.DataFrame([count_matches(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=["matches", "totals", "hyp_len", "ref_len"])
 
+    short_batches()
     return stats(ref, hyp)
 
 
@@ -263,6 +266,7 @@ def model_score(ref: Column, hyp: Column, make: Callable[[], PairScorer]) -> Col
                 out[full.to_numpy()] = own(r[full].tolist(), h[full].tolist())
             yield pd.Series(out)
 
+    short_batches()
     return score(ref, hyp)
 
 
