@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 from typing import Protocol
 
 import numpy as np
@@ -87,8 +88,28 @@ def rouge_l(ref: Column, hyp: Column) -> Column:
             yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     short_batches()
-    p, r, f = _prf(lcs(ref, hyp), F.size(hyp), F.size(ref))
-    return F.struct(p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    counts = F.struct(lcs(ref, hyp).alias("m"), F.size(hyp).alias("h"), F.size(ref).alias("r"))
+    return X.bound(counts, lambda c: F.struct(*[x.alias(n) for x, n in zip(_prf(c["m"], c["h"], c["r"]), ("precision", "recall", "f1"), strict=True)]))
+
+
+def rouge_scores(ref: Column, hyp: Column) -> Column:
+    """struct(rouge1, rouge2, rougeL): the F1 scores of two token arrays, row by row.
+
+    ``rouge_n`` counts n-grams in shuffles; a pair's own are few, and here nothing is shuffled or joined.
+    """
+
+    @F.pandas_udf("struct<one:int,two:int,lcs:int>")
+    def matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in pairs:
+            both = [(list(x), list(y)) for x, y in zip(a, b, strict=True)]
+            each = [[(Counter(x) & Counter(y)).total(), (Counter(pairwise(x)) & Counter(pairwise(y))).total(), lcs_length(x, y)] for x, y in both]
+            yield pd.DataFrame(each, columns=["one", "two", "lcs"], dtype="int32")
+
+    short_batches()
+    counts = F.struct(matches(ref, hyp).alias("m"), F.size(hyp).alias("h"), F.size(ref).alias("r"))
+    f1 = lambda m, h, r: _prf(m, h, r)[2]
+    less = lambda n: F.greatest(n - 1, F.lit(0))
+    return X.bound(counts, lambda c: F.struct(f1(c["m"]["one"], c["h"], c["r"]).alias("rouge1"), f1(c["m"]["two"], less(c["h"]), less(c["r"])).alias("rouge2"), f1(c["m"]["lcs"], c["h"], c["r"]).alias("rougeL")))
 
 
 def rouge_l_native(ref: Column, hyp: Column) -> Column:
@@ -279,11 +300,10 @@ def score_pairs(df: DataFrame, keys: str | Sequence[str], ref: str, hyp: str, to
     keys = [keys] if isinstance(keys, str) else list(keys)
     rows = df.select(*keys, X.strip_ws(F.coalesce(ref, F.lit(""))).alias("ref"), X.strip_ws(F.coalesce(hyp, F.lit(""))).alias("hyp"))
     rows = rows.withColumn("_seen", F.when(F.col("hyp") == "", placeholder).otherwise(F.col("hyp")))
-    orders = rouge_orders(rows, keys, "ref", "_seen", (1, 2), tokenizer).groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, F.col("f1"))).alias(f"rouge{n}") for n in (1, 2)])
     model = [model_score(F.col("ref"), F.col("hyp"), scorer).alias("bertscore_f1")] if scorer else []
-    counted = rows.select("*", bleu_stats(intl_tokens("ref"), intl_tokens("hyp")).alias("stats"), rouge_l(tokenizer("ref"), tokenizer("_seen"))["f1"].alias("rougeL"), *model)
-    rest = counted.select(*keys, "ref", "hyp", "rougeL", F.when(F.col("hyp") == "", 0.0).otherwise(bleu_score(F.col("stats")) / 100).alias("bleu"), X.word_count("hyp").alias("len"), "stats", *["bertscore_f1"] * bool(scorer))
-    return rest.join(orders, keys)
+    counted = rows.select("*", bleu_stats(intl_tokens("ref"), intl_tokens("hyp")).alias("stats"), rouge_scores(tokenizer("ref"), tokenizer("_seen")).alias("_rouge"), *model)
+    bleu = F.when(F.col("hyp") == "", 0.0).otherwise(X.bound(F.col("stats"), lambda s: bleu_score(s)) / 100)
+    return counted.select(*keys, "ref", "hyp", "_rouge.rougeL", bleu.alias("bleu"), X.word_count("hyp").alias("len"), "stats", *["bertscore_f1"] * bool(scorer), "_rouge.rouge1", "_rouge.rouge2")
 
 
 def instance_table(items: DataFrame, keys: Sequence[str], digits: int = 4) -> DataFrame:

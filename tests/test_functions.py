@@ -202,6 +202,15 @@ def test_overlap_scores(spark):
     assert [r["n"] for r in native] == [4, 2]
 
 
+def test_pairs_are_scored_row_by_row(spark):
+    df = spark.createDataFrame([(1, "a b a c", "a b b a c d"), (2, "a", "a"), (3, "a a a", "a a"), (4, "x", None), (5, "", "y z")], "k int, ref string, hyp string")
+    items = O.score_pairs(df, "k", "ref", "hyp")
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Join|Aggregate", plan)
+    for n in (1, 2):
+        assert {r["k"]: r[f"rouge{n}"] for r in items.collect()} == {r["k"]: r["f1"] for r in O.rouge_n(df, ["k"], "ref", "hyp", n).collect()}
+
+
 def test_deep_pages(spark):
     deep = "<div>" * 5000 + "<p>deep <b>text</b></p><a href='/x'>link</a>" + "</div>" * 5000
     df = spark.createDataFrame([(deep,), ("<h1>a</h1>" + "<p>x<div>" * 3000,), (None,), ("",)], "html string")
