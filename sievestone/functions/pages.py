@@ -256,8 +256,9 @@ def extract_articles(pages: DataFrame, site: SiteProfile, html: str = "html", sc
         own = X.clean_to_script(X.strip_preamble(whole_text(html, site)))
         return pages.withColumn("article_text", F.when(F.length(own) >= site.least_chars, own))
     kept = F.filter(F.col("_ps"), lambda p: ~is_quotation_marker(p) & ~is_caption(p, script) & ~is_boilerplate(p))
-    own = X.clean_social(F.array_join(kept, " "))
-    return pages.withColumn("_ps", paragraphs(html, site)).withColumn("article_text", F.when((F.size(kept) > 0) & (F.length(own) >= site.least_chars), own)).drop("_ps")
+    enough = lambda own: F.when(F.length(own) >= site.least_chars, own)
+    article = X.bound(kept, lambda ps: F.when(F.size(ps) > 0, X.bound(X.clean_social(F.array_join(ps, " ")), enough)))
+    return pages.withColumn("_ps", paragraphs(html, site)).withColumn("article_text", article).drop("_ps")
 
 
 def extract_body(pages: DataFrame, site: SiteProfile, html: str = "html", script: ScriptProfile = DEVANAGARI_BASE, names: tuple[str, ...] = ()) -> DataFrame:

@@ -211,6 +211,12 @@ def test_pairs_are_scored_row_by_row(spark):
         assert {r["k"]: r[f"rouge{n}"] for r in items.collect()} == {r["k"]: r["f1"] for r in O.rouge_n(df, ["k"], "ref", "hyp", n).collect()}
 
 
+def test_articles_are_cleaned_once(spark):
+    df = spark.createDataFrame([("<article><p>" + "a long text. " * 20 + "</p></article>",)], "html string")
+    found = H.extract_articles(df, S.SiteProfile((("article", ""),)), script=S.LATIN)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_deep_pages(spark):
     deep = "<div>" * 5000 + "<p>deep <b>text</b></p><a href='/x'>link</a>" + "</div>" * 5000
     df = spark.createDataFrame([(deep,), ("<h1>a</h1>" + "<p>x<div>" * 3000,), (None,), ("",)], "html string")
